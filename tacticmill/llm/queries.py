@@ -5,8 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tacticmill.llm.components import fill_deficits, theorem_key, torn, update_table
+from tacticmill.llm.near import near_groups, near_pairs
+from tacticmill.llm.overlap import overlap_pairs, overlap_report
 from tacticmill.llm.pairs import pair_defects
+from tacticmill.llm.residue import residue_cases, scan_texts
+from tacticmill.session import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +23,79 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_defects(_table(spark, sf_dir, "reflection_records"), "record_id", "error_message", "reflection", "ingested_at")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(_table(spark, sf_dir, "reflection_records"), "record_id", ["reflection", "thought"])
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each record that has a near-duplicate: group, class of copies, number of links."""
+    return near_groups(_table(spark, sf_dir, "reflection_records"), "record_id", ["reflection", "thought"])
+
+
+def _residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = F.concat(F.col("full_cos_chain.state_before"), F.col("full_cos_chain.state_after"))
+    return residue_cases(
+        [
+            scan_texts(_table(spark, sf_dir, "cos_records"), "cos_id", {"full_cos_chain": chain}, "cos_records"),
+            scan_texts(_table(spark, sf_dir, "reflection_records"), "record_id", {"state_before": F.col("state_before"), "state_after": F.col("state_after")}, "reflection_records"),
+        ]
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = _residue(spark, sf_dir).where("table_name = 'reflection_records' and field = 'state_before'").select("row_id")
+    return overlap_pairs(_table(spark, sf_dir, "reflection_records"), "record_id", "split", ["theorem_name", "state_before", "original_tactic"], ["state_before"], bad)
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation records, and those that recur in train, by split and source."""
+    return overlap_report(_table(spark, sf_dir, "reflection_records"), cut(p3_found(spark, sf_dir), "p3"), "record_id", "split", "source")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _residue(spark, sf_dir)
+
+
+def _theorem_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_name, row_id, spelling, node, recorded): node is the theorem's one spelling."""
+    rows = [
+        _table(spark, sf_dir, name).select(
+            F.lit(name).alias("table_name"), F.col(key).alias("row_id"), F.col("theorem_full_name").alias("spelling"), theorem_key(F.col("theorem_full_name")).alias("node"), F.col("split").alias("recorded")
+        )
+        for name, key in (("cos_records", "cos_id"), ("reflection_records", "record_id"))
+    ]
+    return rows[0].union(rows[1])
+
+
+def _links(rows: DataFrame) -> DataFrame:
+    return rows.select("spelling", "node").distinct().select(F.col("spelling").alias("record"), F.array("spelling", "node").alias("keys"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _theorem_rows(spark, sf_dir)
+    table = cut(update_table(None, _links(rows)), "p5-table")
+    parts = torn(table, rows.select(F.col("spelling").alias("node"), F.col("recorded").alias("split")))
+    nodes = table.join(parts, "component", "left_semi").select(F.col("node").alias("spelling"))
+    return rows.where("table_name = 'cos_records'").join(nodes, "spelling", "left_semi").select(F.col("row_id").alias("cos_id")).distinct()
+
+
+def p5_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split for every record: chains as the first batch of the component table, reflections as the second."""
+    rows, ratios = _theorem_rows(spark, sf_dir), _table(spark, sf_dir, "split_targets")
+    table = None
+    for batch in ("cos_records", "reflection_records"):
+        part = rows.where(F.col("table_name") == batch)
+        table = cut(update_table(table, _links(part)), "p5-table")
+        seen = rows if batch == "reflection_records" else part
+        records = seen.select("table_name", "row_id", F.col("spelling").alias("node")).distinct()
+        sizes = records.join(table, "node").groupBy("component").agg(F.count("*").alias("records"))
+        table = cut(fill_deficits(table, sizes, ratios), "p5-filled")
+    out = rows.select("table_name", "row_id", F.col("spelling").alias("node")).distinct().join(table, "node")
+    return out.select("table_name", "row_id", F.col("component").alias("theorem"), F.col("split").alias("assigned"), "status")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_report, p4_found, p5_found, p5_assign)}
 
 
 def oracle_sql() -> dict[str, str]:
