@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tacticmill.llm.components import fill_deficits, theorem_key, torn, update_table
+from tacticmill.llm.encoding import encode_corpus, vocabulary_path
+from tacticmill.llm.mixing import mixture
 from tacticmill.llm.near import near_groups, near_pairs
 from tacticmill.llm.overlap import overlap_pairs, overlap_report
 from tacticmill.llm.pairs import pair_defects
@@ -94,8 +96,26 @@ def p5_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("table_name", "row_id", F.col("component").alias("theorem"), F.col("split").alias("assigned"), "status")
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(_table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary_path(spark))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixture(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "source_targets"), "doc_id", "text", "source", vocabulary_path(spark))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen texts with their number of copies."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of tokens by source."""
+    return _mixture(spark, sf_dir)[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_report, p4_found, p5_found, p5_assign)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_report, p4_found, p5_found, p5_assign, p6_ids, p7_mix, p7_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
