@@ -44,7 +44,7 @@ def rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     both = wanted.join(have, "source", "left")
     # one number; normalising the shares would cancel in p T / N
     room = both.agg(F.min(F.col("max_repeats") * F.col("available") / F.col("target_share"))).first()[0]
-    rate = F.least(F.col("max_repeats").cast("double"), F.col("target_share") * F.lit(room) / F.col("available"))
+    rate = F.when(F.col("available").isNotNull(), F.least(F.col("max_repeats").cast("double"), F.col("target_share") * F.lit(room) / F.col("available")))
     return both.select("source", "target_share", "max_repeats", "available", rate.alias("rate"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tacticmill.llm.components import fill_deficits, theorem_key, torn, update_table
+from tacticmill.llm.disclosure import personal_items, sanitised
 from tacticmill.llm.encoding import encode_corpus, vocabulary_path
 from tacticmill.llm.mixing import mixture
 from tacticmill.llm.near import near_groups, near_pairs
@@ -114,8 +115,18 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_items(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders."""
+    documents = _table(spark, sf_dir, "documents")
+    return sanitised(documents, cut(personal_items(documents, "doc_id", "text"), "p8"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_report, p4_found, p5_found, p5_assign, p6_ids, p7_mix, p7_shares)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_report, p4_found, p5_found, p5_assign, p6_ids, p7_mix, p7_shares, p8_found, p8_text)}
 
 
 def oracle_sql() -> dict[str, str]:
