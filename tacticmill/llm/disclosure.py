@@ -108,19 +108,21 @@ def personal_items(df: DataFrame, key: str, text: str) -> DataFrame:
     found = cut(rows.mapInPandas(_extract, _CANDIDATE).dropDuplicates(["doc_id", "kind", "start_pos", "end_pos"]), "items")
     emails = found.where("kind = 'email'").select("doc_id", "kind", "start_pos", "end_pos")
     everything = emails.union(_addresses(found)).union(_rounds(found, ["phone", "id_number"], "number")).union(_rounds(found, ["name"], "name"))
-    items = everything.groupBy("doc_id").applyInPandas(_apart, "doc_id long, kind string, start_pos long, end_pos long")
-    return items.withColumnRenamed("doc_id", key)
-
-
-def _apart(items: pd.DataFrame) -> pd.DataFrame:
-    """Of overlapping items of one text the earlier and longer stays."""
-    keep, end = [], -1
-    ordered = items.sort_values(["start_pos", "end_pos"], ascending=[True, False], kind="stable")
-    for i, a, b in zip(ordered.index, ordered["start_pos"], ordered["end_pos"]):
-        if a >= end:
-            keep.append(i)
-            end = b
-    return ordered.loc[keep, ["doc_id", "kind", "start_pos", "end_pos"]]
+    return _apart(everything).withColumnRenamed("doc_id", key)
+
+
+def _apart(items: DataFrame) -> DataFrame:
+    """Of overlapping items of one text the earlier and longer stays: a fold over the text's sorted items, whose number its length bounds."""
+    entry = F.struct("start_pos", (-F.col("end_pos")).alias("less_end"), "end_pos", "kind")
+    ordered = items.groupBy("doc_id").agg(F.array_sort(F.collect_set(entry)).alias("all"))
+    none = F.struct(F.slice("all", 1, 0).alias("kept"), F.lit(-1).cast("long").alias("end"))
+
+    def step(acc, item):
+        free = item["start_pos"] >= acc["end"]
+        return F.struct(F.when(free, F.concat(acc["kept"], F.array(item))).otherwise(acc["kept"]).alias("kept"), F.when(free, item["end_pos"]).otherwise(acc["end"]).alias("end"))
+
+    kept = ordered.select("doc_id", F.explode(F.aggregate("all", none, step)["kept"]).alias("i"))
+    return kept.select("doc_id", "i.kind", "i.start_pos", "i.end_pos")
 
 
 @F.pandas_udf(T.StringType())
