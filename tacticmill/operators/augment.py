@@ -39,7 +39,7 @@ def typo(tactic: Column, seed: Column) -> Column:
     inner = (h % F.greatest(n - 2, F.lit(1)) + 2).cast("int")
     dropped = F.concat(F.substring(head, F.lit(1), inner - 1), F.substring(head, inner + 1, n))
     made = F.when(cutting == 0, swapped).when(cutting == 1, doubled).otherwise(dropped)
-    return F.when((n >= 3) & (made != head), F.concat(made, F.substring(tactic, F.locate(head, tactic) + n, F.length(tactic))))
+    return F.when((n >= 3) & (made != head), F.concat(made, F.substring(tactic, F.position(head, tactic) + n, F.length(tactic))))
 
 
 
