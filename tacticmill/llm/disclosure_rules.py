@@ -163,5 +163,8 @@ def candidates(text: str) -> list[Candidate]:
             continue
         before, after = bare[max(0, m.start() - 24) : m.start()], bare[m.end() : m.end() + 100]
         seed = "name" if NAME_BEFORE.search(before) or NAME_AFTER.search(after) else ""
+        if not seed:
+            # the next word may begin another reading; the corpus decides between them
+            at = m.start() + len(head)
         out.append(Candidate("name", m.start(), m.end(), seed, [p.lower() for p in parts], _before(bare, m.start()) + _after(bare, m.end())))
     return out
