@@ -16,7 +16,7 @@ SKIPPED_DIRS = ("test", "deprecated", ".lake")
 
 def scan_files(spark: SparkSession, root: str, suffix: str = ".lean", skip: tuple[str, ...] = SKIPPED_DIRS) -> DataFrame:
     """(path, text) of every file with the suffix below root, directories named like one in skip pruned."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").option("wholetext", True).option("ignoreCorruptFiles", True).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").option("ignoreCorruptFiles", True).text(root, wholetext=True)
     parts = F.split(F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", r"\."), ""), "/")
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(~F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.isin(*skip)))
 
