@@ -65,7 +65,8 @@ def _judged(found: DataFrame, kinds: list[str], source_kind: str, prior_weight:
         hit = (F.col("seed") == kind).cast("long")
         rate = own.agg(((F.sum(hit) + prior_weight) / (F.count("*") + 1)).alias("p")).first()[0] or prior_weight
         counts = features.groupBy("role", "feature").agg(F.count("*").alias("n"), F.sum(hit).alias("hits"))
-        bits = counts.select("role", "feature", "hits", F.log2((F.col("hits") + prior_weight * rate) / (F.col("n") + prior_weight) / rate).alias("bits"))
+        # without the occurrence that is judged, so that what is seen nowhere else says nothing
+        bits = counts.select("role", "feature", "hits", F.log2((F.col("hits") + prior_weight * rate) / (F.greatest(F.col("n") - 1, F.lit(0)) + prior_weight) / rate).alias("bits"))
         seen = features.where("seed = ''").join(bits, ["role", "feature"])
         scored = seen.groupBy("doc_id", "start_pos", "end_pos").agg(
             F.avg(F.when(F.col("role") == "term", F.col("bits"))).alias("term_bits"),
