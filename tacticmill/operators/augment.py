@@ -28,10 +28,9 @@ def rest_of(tactic: Column) -> Column:
     return F.regexp_extract(tactic, r"(?s)^\s*\S+\s*(.*)$", 1)
 
 
-def typo(tactic: Column, seed: Column) -> Column:
-    """The head with two letters swapped, one doubled or, from four letters on, one dropped; NULL if that changes nothing."""
-    head = first_token(tactic)
-    n, h = F.length(head), hash_number(seed)
+def typo(tactic: Column, head: Column, h: Column) -> Column:
+    """The head with two letters swapped, one doubled or, from four letters on, one dropped; NULL if that changes nothing. h: a hash."""
+    n = F.length(head)
     at = (h % F.greatest(n - 1, F.lit(1)) + 1).cast("int")
     cutting = F.when(n >= 4, h % 3).otherwise(h % 2)
     swapped = F.concat(F.substring(head, F.lit(1), at - 1), F.substring(head, at + 1, F.lit(1)), F.substring(head, at, F.lit(1)), F.substring(head, at + 2, n))
@@ -42,34 +41,37 @@ def typo(tactic: Column, seed: Column) -> Column:
     return F.when((n >= 3) & (made != head), F.concat(made, F.substring(tactic, F.position(head, tactic) + n, F.length(tactic))))
 
 
-
-def wrong_tactic(tactic: Column, seed: Column) -> Column:
+def wrong_tactic(tactic: Column, head: Column, h: Column) -> Column:
     """Another head from the pool, the arguments kept."""
-    head, pool = first_token(tactic), F.array(*map(F.lit, POOL))
-    others = F.array_remove(pool, head)
-    chosen = F.get(others, (hash_number(seed) % F.size(others)).cast("int"))
+    others = F.array_remove(F.array(*map(F.lit, POOL)), head)
+    chosen = F.get(others, (h % F.size(others)).cast("int"))
     rest = rest_of(tactic)
     return F.when(rest != "", F.concat(chosen, F.lit(" "), rest)).otherwise(chosen)
 
 
-def argument_error(tactic: Column, seed: Column) -> Column:
+def argument_error(tactic: Column, head: Column, h: Column) -> Column:
     """Two arguments swapped, one dropped or one inserted; without arguments a typo."""
     words = F.split(strip(tactic), r"\s+")
-    args = F.slice(words, 2, 10_000)
-    n, h = F.size(words) - 1, hash_number(seed)
+    args = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    n = F.size(words) - 1
     kind = h % 3
     i = (h % F.greatest(n, F.lit(1))).cast("int")
     j = F.pmod(i + 1, F.greatest(n, F.lit(1)))
     swapped = F.transform(args, lambda a, k: F.when(k == i, F.get(args, j)).when(k == j, F.get(args, i)).otherwise(a))
     dropped = F.filter(args, lambda a, k: k != i)
-    inserted = F.concat(F.slice(args, F.lit(1), i), F.array(F.lit("h")), F.slice(args, i + 1, F.lit(10_000)))
+    inserted = F.concat(F.slice(args, F.lit(1), i), F.array(F.lit("h")), F.slice(args, i + 1, F.greatest(n - i, F.lit(0))))
     made = F.when((kind == 0) & (n >= 2), swapped).when((kind == 1) & (n >= 2), dropped).when(kind == 2, inserted)
     joined = F.when(made.isNotNull(), F.array_join(F.concat(F.slice(words, 1, 1), made), " "))
-    return F.when(n < 1, typo(tactic, seed)).otherwise(joined)
+    return F.when(n < 1, typo(tactic, head, h)).otherwise(joined)
+
+
+def missing_step(h: Column) -> Column:
+    return F.get(F.array(*map(F.lit, STAND_INS)), (h % len(STAND_INS)).cast("int"))
 
 
-def missing_step(seed: Column) -> Column:
-    return F.get(F.array(*map(F.lit, STAND_INS)), (hash_number(seed) % len(STAND_INS)).cast("int"))
+def correction_pair(tactic: Column, head: Column, h: Column) -> Column:
+    """A faulty form of a tactic: a typo, or where none is possible another head."""
+    return F.coalesce(typo(tactic, head, h), wrong_tactic(tactic, head, h))
 
 
 def inject(steps: DataFrame, key: list[str], tactic: str, step: str, weights: dict[str, float] | None = None) -> DataFrame:
@@ -77,11 +79,13 @@ def inject(steps: DataFrame, key: list[str], tactic: str, step: str, weights: di
     weights = weights or dict.fromkeys(ERROR_TYPES, 1.0)
     seed = F.concat_ws("|", *key)
     kinds = F.when(F.col(step) == 0, F.array(*map(F.lit, ERROR_TYPES))).otherwise(F.array(weighted_draw(seed, weights)))
-    rows = steps.where(text(F.col(tactic)) != "").select(*key, tactic, F.explode(kinds).alias("error_type"))
-    own = F.concat_ws("|", *key, "error_type")
-    t = F.col(tactic)
-    made = F.when(F.col("error_type") == "tactic_typo", typo(t, own)).when(F.col("error_type") == "wrong_tactic", wrong_tactic(t, own)).when(F.col("error_type") == "argument_error", argument_error(t, own)).otherwise(missing_step(own))
-    return rows.withColumn("error_tactic", made).where("error_tactic is not null and error_tactic <> ''").where(F.col("error_tactic") != t)
+    rows = steps.where(text(F.col(tactic)) != "").select(*key, tactic, first_token(F.col(tactic)).alias("_head"), F.explode(kinds).alias("error_type"))
+    rows = rows.withColumn("_h", hash_number(F.concat_ws("|", *key, "error_type")))
+    t, head, h, kind = F.col(tactic), F.col("_head"), F.col("_h"), F.col("error_type")
+    made = F.when(kind == "tactic_typo", typo(t, head, h)).when(kind == "wrong_tactic", wrong_tactic(t, head, h)).when(kind == "argument_error", argument_error(t, head, h)).otherwise(missing_step(h))
+    # generated, so that the conditions below do not copy the expression
+    faulty = rows.select("*", F.explode(F.array(made)).alias("error_tactic")).drop("_head", "_h")
+    return faulty.where("error_tactic is not null and error_tactic <> ''").where(F.col("error_tactic") != t)
 
 
 def quotas(total: int, weights: dict[str, float]) -> dict[str, int]:

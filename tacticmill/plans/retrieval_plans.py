@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tacticmill.functions import text as X
 from tacticmill.operators import retrieval as V
 from tacticmill.plans.base import ERR, query, records, table
+from tacticmill.session import cut
 
 _TOKEN = r"[A-Za-z_][\pL\pN_.]*"
 _Q = f"{ERR}, q AS (SELECT error_id AS qid, state_before AS text FROM err WHERE error_id % 100 = 0)"
@@ -30,8 +31,9 @@ def _symbolic(spark, d, k):
 
 
 def _dense(spark, d, k):
-    q = V.hashed_vectors(_queries(spark, d), "qid", "text")
-    return V.dense_topk(q, "qid", V.hashed_vectors(table(spark, d, "corpus").select("name", "type_expr"), "name", "type_expr"), "name", "v", k)
+    q = cut(V.hashed_vectors(_queries(spark, d), "qid", "text"), "query-vectors")
+    v = cut(V.hashed_vectors(table(spark, d, "corpus").select("name", "type_expr"), "name", "type_expr"), "corpus-vectors")
+    return V.dense_topk(q, "qid", v, "name", "v", k)
 
 
 @query(f"WITH {_SYM} SELECT qid, name, overlap, score, rank FROM sym WHERE rank < 10")
@@ -115,8 +117,9 @@ def contrastive_samples(spark, d):
 
     cited, resolved = _premises(spark, d)
     pos = cited.join(resolved, "cited").where("cos_id % 100 = 0").select(F.concat_ws("-", "cos_id", "step_index").alias("qid"), "cos_id", F.col("state_before").alias("text"), F.col("target").alias("name"))
-    q = V.hashed_vectors(pos.select("qid", "text").distinct(), "qid", "text")
-    near = V.dense_topk(q, "qid", V.hashed_vectors(table(spark, d, "corpus").select("name", "type_expr"), "name", "type_expr"), "name", "v", 50)
+    q = cut(V.hashed_vectors(pos.select("qid", "text").distinct(), "qid", "text"), "query-vectors")
+    v = cut(V.hashed_vectors(table(spark, d, "corpus").select("name", "type_expr"), "name", "type_expr"), "corpus-vectors")
+    near = V.dense_topk(q, "qid", v, "name", "v", 50)
     negatives = V.hard_negatives(near, pos, "qid", "name", 7).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("n"))
     parts = ratio_split(steps(spark, d), "cos_id", {"train": 0.8, "val": 0.1, "test": 0.1})
     return pos.join(negatives, "qid").join(parts, "cos_id").select("qid", F.col("name").alias("positive"), F.array_join("n.name", ",").alias("negatives"), F.size("n").alias("num_negatives"), "split")
