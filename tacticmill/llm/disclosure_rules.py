@@ -27,7 +27,7 @@ NOT_NAMES = frozenset(
     """A An And As At But By Call Case Cas Contact Danke Der Die Das Dr Ein Eine El En For From Für Gracias Harbor He Her His How I If In Issue It La Le
     Les Los Lives Mail Mark Merci Mr Mrs Ms Miss Nach Nadie No Nobody Note Office Ohne On One Or Our Passport Prof Professor Por Proof Question Readers Recall Release Reported
     Ring See Seed She Ship Signed Since So Some Student Tag Tel Telefon Thanks That The Their Then There These They This Those Ticket To Una Un Und Une Users
-    Version Wir We What When Where Which While Why With Write You Your Set Send Candidate Adresse Anschrift Bitte Lean Theorem Lemma Lectures Build Atlas Mirror SSN DNI NIE NIF TIN URL API IDE PDF TODO AND NOT THE""".split()
+    Version Wir We What When Where Which While Why With Write You Your Set Send Candidate Adresse Anschrift Bitte Lean Theorem Lemma Lectures Build Atlas Mirror My Address Documento Dirección Numéro Matrikelnummer Ausweisnr Telefonisch Joindre Llame SSN DNI NIE NIF TIN URL API IDE PDF TODO AND NOT THE""".split()
 )
 
 _NAME = re.compile(
@@ -35,7 +35,7 @@ _NAME = re.compile(
     rf"|(?P<last2>{_WORD}),{_SP}(?P<first2>{_WORD}|[{_UP}]\.(?![{_LOW}]))(?P<middle2>{_SP}[{_UP}]\.(?![{_LOW}{_UP}]))?)(?![\w@/`(]|\.\w|-\w)"
 )
 
-_MORE = re.compile(rf"{_SP}({_WORD})(?![\w.@/`])")
+_MORE = re.compile(rf"{_SP}(?:[{_UP}]\.{_SP})?({_WORD})(?![\w.@/`])")
 
 # Cues that what follows, or what went before, is a person.
 NAME_BEFORE = re.compile(
@@ -120,7 +120,9 @@ def candidates(text: str) -> list[Candidate]:
     if "@" in bare or re.search(r"\b[Aa][Tt]\b", bare):
         for m in EMAIL.finditer(bare):
             out.append(Candidate("email", m.start(), m.end(), "email", [], []))
-    taken = [(c.start, c.end) for c in out]
+    taken = bytearray(len(text))
+    for c in out:
+        taken[c.start : c.end] = b"\x01" * (c.end - c.start)
     for m in ADDRESS.finditer(bare):
         town = next(t for t in ("t1", "t2", "t3", "t4", "t5") if m.group(t))
         words = re.split(_SP, m.group(town))
@@ -131,11 +133,11 @@ def candidates(text: str) -> list[Candidate]:
         sure = len(words) == 1 or coded or not re.match(rf"[ \u00a0][{_LOW}`\d(]", bare[end : end + 2])
         short = end - len(words[-1]) - 1 if len(words) == 2 and not coded else end
         out.append(Candidate("address", m.start(), end, seed, [*words, "sure" if sure else "open", str(short)], _before(bare, m.start())))
-        taken.append((m.start(), end))
+        taken[m.start() : end] = b"\x01" * (end - m.start())
     for m in _NUMBER.finditer(bare):
         s = m.group(0)
         digits = sum(c.isdigit() for c in s)
-        if digits < (6 if s[0].isalpha() else 7) or any(a <= m.start() < b for a, b in taken):
+        if digits < (6 if s[0].isalpha() else 7) or taken[m.start()]:
             continue
         if re.match(r"\d{4}-\d{2}-\d{2}", s) or re.fullmatch(r"\d+-\d+", s) and digits < 9:
             continue
@@ -158,7 +160,7 @@ def candidates(text: str) -> list[Candidate]:
         if head in NOT_NAMES:
             at = m.start() + len(head)
             continue
-        if any(p in NOT_NAMES for p in parts) or any(a < m.end() and m.start() < b for a, b in taken):
+        if any(p in NOT_NAMES for p in parts) or any(taken[m.start() : m.end()]):
             at = m.start() + len(head)
             continue
         before, after = bare[max(0, m.start() - 24) : m.start()], bare[m.end() : m.end() + 100]
@@ -167,4 +169,8 @@ def candidates(text: str) -> list[Candidate]:
             # the next word may begin another reading; the corpus decides between them
             at = m.start() + len(head)
         out.append(Candidate("name", m.start(), m.end(), seed, [p.lower() for p in parts], _before(bare, m.start()) + _after(bare, m.end())))
-    return out
+    stated = bytearray(len(text))
+    for c in out:
+        if c.kind == "name" and c.seed:
+            stated[c.start : c.end] = b"\x01" * (c.end - c.start)
+    return [c for c in out if c.kind != "name" or c.seed or not any(stated[c.start : c.end])]
