@@ -55,16 +55,20 @@ def symbolic_topk(queries: DataFrame, qid: str, text: str, docs: DataFrame, name
 
 def _block_topk(qid: str, name: str, k: int):
     def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(vectors):
-            names = vectors[name].to_numpy()
+        ids, names = queries[qid].to_numpy(), vectors[name].to_numpy()
+        rows, found, kept = [], [], []
+        if len(ids) and len(names):
             scores = np.round(np.array(queries["v"].tolist(), dtype=np.float64) @ np.array(vectors["v"].tolist(), dtype=np.float64).T, 6)
-            for row, q in zip(scores, queries[qid]):
+            for i, row in enumerate(scores):
                 # all names tied with the k-th stay, so the final order is exact
                 edge = np.partition(row, -k)[-k] if len(row) > k else -np.inf
                 at = np.flatnonzero(row >= edge)
-                out.append(pd.DataFrame({qid: q, name: names[at], "score": row[at]}))
-        return pd.concat(out) if out else pd.DataFrame({qid: [], name: [], "score": []})
+                rows.append(np.full(len(at), i))
+                found.append(at)
+                kept.append(row[at])
+        if not rows:
+            return pd.DataFrame({qid: ids[:0], name: names[:0], "score": np.empty(0)})
+        return pd.DataFrame({qid: ids[np.concatenate(rows)], name: names[np.concatenate(found)], "score": np.concatenate(kept)})
 
     return run
 
