@@ -93,7 +93,9 @@ def theorem_statements(files: DataFrame, text: str = "text") -> DataFrame:
     """(name, arguments, type) of each declaration of a file, by pattern."""
     found = F.regexp_extract_all(text, F.lit(r"(?s)(theorem\s+\S+.*?:=)"), 1)
     one = files.select(*[c for c in files.columns if c != text], F.posexplode(found).alias("n", "d"))
-    return one.select("*", F.regexp_extract("d", r"^theorem\s+(\S+)", 1).alias("name"), F.regexp_extract("d", r"(?s)^theorem\s+\S+\s*(.*?)\s*:(?!=)", 1).alias("arguments"), F.regexp_extract("d", r"(?s):(?!=)\s*(.*?)\s*:=$", 1).alias("type")).drop("d")
+    # bracket groups may hold colons of their own
+    shape = r"(?s)^theorem\s+(\S+)\s*((?:\([^()]*\)|\{[^{}]*\}|\[[^\[\]]*\]|[^:(\[{])*?)\s*:(?!=)\s*(.*?)\s*:=$"
+    return one.select("*", *[F.regexp_extract("d", shape, i).alias(c) for i, c in enumerate(("name", "arguments", "type"), 1)]).drop("d")
 
 
 def write_vectors(df: DataFrame, path: str, cell: str | None = None) -> None:
