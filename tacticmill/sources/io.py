@@ -173,3 +173,11 @@ def in_batches(df: DataFrame, call: Callable[[list[dict]], list[dict]], schema:
                         time.sleep(0.1 * 2**attempt)
 
     return df.mapInPandas(run, schema)
+
+
+def observed(df: DataFrame, name: str = "progress", **conditions) -> tuple[DataFrame, object]:
+    """df with a row counter and one counter for each condition, filled by whichever action runs it; no extra pass."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in conditions.items()]), seen

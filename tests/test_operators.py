@@ -191,3 +191,35 @@ def test_kernel_statuses(spark):
     df = spark.createDataFrame(rows, "error_id long, goal string, replay array<string>, error_tactic string")
     got = {r["error_id"]: r["verification_status"] for r in kernel.verify(df, Fake).collect()}
     assert got == {1: "verified", 2: "error_tactic_succeeded", 3: "replay_failed_at_step_1", 4: "goal_start_failed"}
+
+
+def test_observed_counts(spark):
+    df, seen = io.observed(spark.range(10), small=F.col("id") < 3)
+    df.collect()
+    assert seen.get == {"rows": 10, "small": 3}
+
+
+def test_search_and_repair(spark):
+    from tacticmill.operators import search as H
+
+    class Fake:
+        def start(self, goal):
+            return goal
+
+        def apply(self, state, tactic):
+            if tactic == "bad":
+                raise ValueError("no")
+            return state + tactic
+
+    assert H.search_one("g", ["bad", "a", "b"], Fake(), lambda s: s.endswith("ab"))[::2] == (True, ["a", "b"])
+    assert H.search_one("g", ["bad"], Fake(), lambda s: False) == (False, 1, [])
+    assert H.repair_one("s", "bad", lambda t, r: ["bad", "ok"] if r == "ESR" else ["bad"], Fake()) == (True, "ESR", "ok", 3)
+    assert H.repair_one("s", "bad", lambda t, r: ["bad"], Fake()) == (False, "ESR", "", 2)
+
+
+def test_shell_entry(capsys):
+    from tacticmill import cli
+
+    assert cli.main(["--input", "x", "--list"]) == 0 and "rrf_fused" in capsys.readouterr().out
+    assert cli.main(["--input", "x", "--step", "corpus_gate", "--step", "top_modules", "--resume-from", "top_modules", "--dry-run"]) == 0
+    assert capsys.readouterr().out.split() == ["top_modules"]
