@@ -52,6 +52,7 @@ def balanced_prefix(s: str | None, limit: int = 600) -> str:
     return s.strip()
 
 
+# Fixed value: the tactics whose bracketed lists are shortened.
 _LISTED = re.compile(r"(\b(?:rw|erw|simp|simp_rw|norm_cast|push_cast|pull_cast)\s*)\[([^\]]*)\]")
 
 

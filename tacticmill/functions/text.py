@@ -196,7 +196,7 @@ TACTIC_WORDS = [
     "ext", "funext", "congr", "trivial", "assumption", "contradiction", "exfalso", "by_contra", "push_neg", "linarith", "nlinarith", "field_simp", "ring_nf",
 ]
 
-#: One pattern for each form of citing a single name, and one for each form of citing a bracketed list.
+# One pattern for each form of citing a single name, and one for each form of citing a bracketed list.
 SINGLE_CITATIONS = [
     rf"(?i)(?:exact|exact\?)\s+({PREMISE})",
     rf"(?i)apply\s+({PREMISE})",
