@@ -59,10 +59,15 @@ def interval_lookup(points: DataFrame, point: str, ranges: DataFrame, lo: str, h
     return keep_first(hit, [group, point], order)
 
 
-def self_links(df: DataFrame, node: str, shared: str, free: Column) -> DataFrame:
-    """(a, b), a < b: nodes that share a value for which ``free`` holds."""
+def coupling(df: DataFrame, node: str, shared: str, free: Column) -> DataFrame:
+    """(node, shared, leader, n_links): nodes coupled through a value for which ``free`` holds.
+
+    Each shared value is a class named by its least node; a node links to the
+    size of the class less one. Pairs inside a class are not written out.
+    """
     rows = df.where(free).select(F.col(shared), F.col(node)).distinct()
-    return rows.select(shared, F.col(node).alias("a")).join(rows.select(shared, F.col(node).alias("b")), shared).where("a < b").select("a", "b").distinct()
+    classes = rows.groupBy(shared).agg(F.min(node).alias("leader"), (F.count("*") - 1).alias("n_links")).where("n_links > 0")
+    return rows.join(classes, shared).select(node, shared, "leader", "n_links")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:

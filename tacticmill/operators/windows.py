@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tacticmill.functions.text import hash_number
+from tacticmill.session import cut
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column], k: int = 1) -> DataFrame:
@@ -35,8 +36,6 @@ def slices(df: DataFrame, order: list[str | Column], batches: int) -> DataFrame:
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    from tacticmill.session import cut
-
     placed = cut(ranged, "slices")
     sizes = placed.groupBy("_part").agg(F.count("*").alias("n"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -76,9 +75,16 @@ def ratio_split(keys: DataFrame, key: str, ratios: dict[str, float], seed: int =
 def nearest_rank(df: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """One row of quantiles by index: the value at position floor(n * p) of the sorted values, exact.
 
-    Equal values are counted first, so the window runs over distinct values only.
+    Equal values are counted first. The running count is taken within value
+    ranges and shifted by the sizes of the ranges before, so no task sorts all values.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
-    w = Window.orderBy(value)
-    cum = counts.select(F.col(value).alias("v"), F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
+    spark = df.sparkSession
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    ranged = cut(counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "v").withColumn("_part", F.spark_partition_id()), "ranks")
+    sizes = ranged.groupBy("_part").agg(F.sum("c").alias("s"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"), F.sum("s").over(Window.partitionBy()).alias("n"))
+    upto = F.col("offset") + F.sum("c").over(Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    cum = ranged.join(F.broadcast(offsets), "_part").select("v", "n", upto.alias("upto"))
     return cum.agg(*[F.min(F.when(F.col("upto") > F.floor(F.col("n") * F.lit(p)), F.col("v"))).alias(name) for name, p in shares.items()])

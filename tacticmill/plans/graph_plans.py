@@ -79,11 +79,11 @@ def registry_stats(spark, d):
 _META = f"{ERR}, m AS (SELECT DISTINCT error_id, unnest(regexp_extract_all(coalesce(error_message, ''), '\\?\\w+\\.\\d+')) AS v FROM err)"
 
 
-@query(f"WITH {_META} SELECT DISTINCT x.error_id AS a, y.error_id AS b FROM m x JOIN m y USING (v) WHERE x.error_id < y.error_id AND ('0x' || substr(md5(v), 1, 1))::INTEGER < 12")
+@query(f"WITH {_META} SELECT error_id, v, min(error_id) OVER (PARTITION BY v) AS leader, count(*) OVER (PARTITION BY v) - 1 AS n_links FROM m WHERE ('0x' || substr(md5(v), 1, 1))::INTEGER < 12 QUALIFY n_links > 0")
 def coupled_by_metavariable(spark, d):
-    """Records that share an unbound metavariable; a hashed quarter of the variables counts as bound."""
+    """Records that share an unbound metavariable, as classes; a hashed quarter of the variables counts as bound."""
     m = records(spark, d, "error_records", "error_message").select("error_id", F.explode(X.metavariables(F.col("error_message"))).alias("v"))
-    return J.self_links(m, "error_id", "v", F.conv(F.substring(F.md5("v"), 1, 1), 16, 10).cast("int") < 12)
+    return J.coupling(m, "error_id", "v", F.conv(F.substring(F.md5("v"), 1, 1), 16, 10).cast("int") < 12)
 
 
 @query(f"WITH {_META}, b AS (SELECT v, min(error_id) AS binder FROM m GROUP BY v HAVING count(*) > 1) SELECT v, binder, count(*) AS dependents FROM m JOIN b USING (v) GROUP BY 1, 2")
