@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tacticmill.functions.text import KEY_TACTICS, first_token, text
@@ -17,30 +17,32 @@ def full_chain(states: Column, tactics: Column) -> Column:
     return F.when(F.size(states) > 0, states).otherwise(made)
 
 
-def key_indices(chain: Column, ratio: int = 3) -> Column:
-    """Indices that a compressed chain keeps, ascending.
+def with_key_indices(df: DataFrame, chain: str, out: str = "idx", ratio: int = 3) -> DataFrame:
+    """df with the indices that the compressed chain keeps, ascending.
 
     Ends and landmark tactics are kept. More than the target max(n // ratio, 3)
     are thinned by a constant stride, ends put back; fewer are filled up with
     the other indices at a constant stride. Chains of up to three steps stay whole.
+    Every intermediate array is a column, so no lambda computes it again.
     """
-    n = F.size(chain)
+    n, marked, kept, rest = F.size(chain), F.col("_marked"), F.col("_kept"), F.col("_rest")
     every = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    heads = F.transform(chain, lambda s: first_token(s["tactic"]))
-    marked = F.filter(every, lambda i: (i == 0) | (i == n - 1) | F.get(heads, i).isin(*KEY_TACTICS))
     target = F.greatest(F.floor(n / ratio).cast("int"), F.lit(3))
     stride = F.greatest(F.floor(F.size(marked) / target).cast("int"), F.lit(1))
-    thinned = F.array_union(F.filter(marked, lambda v, i: i % stride == 0), F.array(F.lit(0), n - 1))
-    kept = F.when(F.size(marked) > target, thinned).otherwise(marked)
     need = target - F.size(kept)
-    rest = F.array_except(every, kept)
     step = F.greatest(F.floor(F.size(rest) / F.greatest(need, F.lit(1))).cast("int"), F.lit(1))
-    filled = F.array_union(kept, F.slice(F.filter(rest, lambda v, i: i % step == 0), F.lit(1), F.greatest(need, F.lit(0))))
-    return F.when(n == 0, F.array().cast("array<int>")).when(n <= 3, every).otherwise(F.array_sort(F.when(need > 0, filled).otherwise(kept)))
-
-
-def compressed(chain: Column, ratio: int = 3) -> Column:
-    return F.transform(key_indices(chain, ratio), lambda i: F.get(chain, i))
+    df = df.withColumn("_heads", F.transform(chain, lambda s: first_token(s["tactic"])))
+    df = df.withColumn("_marked", F.filter(every, lambda i: (i == 0) | (i == n - 1) | F.get("_heads", i).isin(*KEY_TACTICS)))
+    df = df.withColumn("_stride", stride).withColumn("_kept", F.when(F.size(marked) > target, F.array_union(F.filter(marked, lambda v, i: i % F.col("_stride") == 0), F.array(F.lit(0), n - 1))).otherwise(marked))
+    df = df.withColumn("_rest", F.array_except(every, kept)).withColumn("_stride", step)
+    filled = F.array_union(kept, F.slice(F.filter(rest, lambda v, i: i % F.col("_stride") == 0), F.lit(1), F.greatest(need, F.lit(0))))
+    whole = F.when(n == 0, F.array().cast("array<int>")).when(n <= 3, every).otherwise(F.array_sort(F.when(need > 0, filled).otherwise(kept)))
+    return df.withColumn(out, whole).drop("_heads", "_marked", "_stride", "_kept", "_rest")
+
+
+def compressed(df: DataFrame, chain: str, out: str, ratio: int = 3) -> DataFrame:
+    """df with the compressed chain."""
+    return with_key_indices(df, chain, "_idx", ratio).withColumn(out, F.transform("_idx", lambda i: F.get(chain, i))).drop("_idx")
 
 
 def length_gate(chain: Column, least: int = 3, most: int = 50) -> tuple[Column, Column]:

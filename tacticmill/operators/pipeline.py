@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tacticmill.functions.text import fingerprint, text
 from tacticmill.operators.augment import inject
-from tacticmill.operators.chains import key_indices, valid_step
+from tacticmill.operators.chains import valid_step, with_key_indices
 from tacticmill.operators.filters import usable_proof
 from tacticmill.operators.windows import keep_first, ratio_split
 
@@ -15,7 +15,7 @@ from tacticmill.operators.windows import keep_first, ratio_split
 def flat_steps(chains: DataFrame) -> DataFrame:
     """Steps of the compressed chains with their index in the compressed and in the full chain."""
     good = chains.where(usable_proof(F.size("full_cos_chain"), F.col("full_cos_chain.tactic")) & (F.size("full_cos_chain") >= 3))
-    flat = good.select("cos_id", "theorem_full_name", "full_cos_chain", F.posexplode(F.slice(key_indices(F.col("full_cos_chain")), 1, 50)).alias("step_index", "full_index"))
+    flat = with_key_indices(good, "full_cos_chain").select("cos_id", "theorem_full_name", "full_cos_chain", F.posexplode(F.slice("idx", 1, 50)).alias("step_index", "full_index"))
     s = F.get("full_cos_chain", F.col("full_index"))
     rows = flat.select("cos_id", "theorem_full_name", "step_index", "full_index", s["tactic"].alias("tactic"), s["state_before"].alias("state_before"), s["state_after"].alias("state_after"))
     return rows.where(valid_step(F.col("state_before"), F.col("tactic"), F.col("state_after")))

@@ -23,7 +23,7 @@ e AS (SELECT cos_id, chain, n, CASE WHEN n = 0 THEN [] WHEN n <= 3 THEN every WH
 @query(_INDICES + "SELECT cos_id, CAST(n AS INTEGER) AS full_steps, CAST(len(idx) AS INTEGER) AS key_steps, array_to_string(idx, ',') AS kept, round(len(idx) / greatest(n, 1), 6) AS compression_ratio FROM e")
 def chain_compress(spark, d):
     """Which steps a compressed chain keeps, and its ratio."""
-    r = records(spark, d, "cos_records", "full_cos_chain").select("cos_id", F.size("full_cos_chain").alias("full_steps"), C.key_indices(F.col("full_cos_chain")).alias("idx"))
+    r = C.with_key_indices(records(spark, d, "cos_records", "full_cos_chain"), "full_cos_chain").withColumn("full_steps", F.size("full_cos_chain"))
     return r.select("cos_id", "full_steps", F.size("idx").alias("key_steps"), F.array_join("idx", ",").alias("kept"), F.round(F.size("idx") / F.greatest("full_steps", F.lit(1)), 6).alias("compression_ratio"))
 
 
@@ -36,7 +36,8 @@ sha256(coalesce(chain[idx[j] + 1].state_before, '') || '|' || coalesce(chain[idx
 def chain_flatten(spark, d):
     """Scan, length gate, compression, flattening with both indices, row hash."""
     keep, cut = C.length_gate(F.col("idx"))
-    r = records(spark, d, "cos_records", "full_cos_chain").where(F.size("full_cos_chain") >= 3).select("cos_id", F.col("full_cos_chain").alias("chain"), C.key_indices(F.col("full_cos_chain")).alias("idx"))
+    r = records(spark, d, "cos_records", "full_cos_chain").where(F.size("full_cos_chain") >= 3).select("cos_id", F.col("full_cos_chain").alias("chain"))
+    r = C.with_key_indices(r, "chain")
     r = r.where(keep).select("cos_id", "chain", cut.alias("idx"))
     flat = r.select("cos_id", "chain", F.size("idx").alias("total_steps"), F.posexplode("idx").alias("step_index", "full_index")).withColumn("s", F.get("chain", F.col("full_index")))
     return flat.select("cos_id", "step_index", "total_steps", "full_index", "s.tactic", X.fingerprint(F.col("s.state_before"), F.col("s.tactic"), F.col("s.state_after")).alias("hash"))

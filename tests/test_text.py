@@ -89,7 +89,7 @@ def test_key_indices_on_random_chains(spark):
     rng = random.Random(7)
     chains = [[rng.choice(["omega", "ring", "rw", "have", "exact", "linarith", "tauto"]) for _ in range(n)] for n in [*range(0, 61), *range(1, 61)]]
     df = spark.createDataFrame([(i, [(h + " x", "s", "t") for h in c]) for i, c in enumerate(chains)], "i int, c array<struct<tactic:string,state_before:string,state_after:string>>")
-    got = {r["i"]: r["k"] for r in df.select("i", C.key_indices(F.col("c")).alias("k")).collect()}
+    got = {r["i"]: r["k"] for r in C.with_key_indices(df, "c", "k").collect()}
     assert got == {i: _kept(c) for i, c in enumerate(chains)}
 
 
