@@ -129,5 +129,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_report, p4_found, p5_found, p5_assign, p6_ids, p7_mix, p7_shares, p8_found, p8_text)}
 
 
+_KEY = r"regexp_replace(replace(replace(regexp_replace(theorem_full_name, '^\s+|\s+$', '', 'g'), '«', ''), '»', ''), '^(_root_\.)+', '')"
+_P5 = f"""WITH u AS (SELECT cos_id, theorem_full_name, split FROM cos_records UNION ALL SELECT NULL, theorem_full_name, split FROM reflection_records),
+p AS (SELECT cos_id, split, string_split({_KEY}, '.') AS s FROM u WHERE theorem_full_name IS NOT NULL),
+k AS (SELECT cos_id, split, array_to_string(list_filter(s, lambda x, i: i = 1 OR x <> s[i - 1]), '.') AS theorem FROM p)
+SELECT DISTINCT cos_id FROM k WHERE cos_id IS NOT NULL AND theorem <> '' AND theorem IN (SELECT theorem FROM k GROUP BY theorem HAVING count(DISTINCT split) > 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others compare texts by alignment, sketches, tokenizers or corpus statistics and are tested against brute force."""
+    return {"p5_found": _P5}
