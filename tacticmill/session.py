@@ -6,8 +6,10 @@ Nothing here is read on executors; operators take a session or a DataFrame.
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +31,25 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives the workers this package, once for each context, so that they need neither an installation nor a path."""
+    context = spark.sparkContext
+    if getattr(context, "_tacticmill_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="tacticmill-"), "tacticmill.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    # served to the executors by the driver; they do not read the driver's folder
+    context.addPyFile(archive)
+    context._tacticmill_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session's spark.checkpoint.dir.
 
