@@ -96,10 +96,10 @@ def _addresses(found: DataFrame) -> DataFrame:
     """Addresses, the town cut to one word where the corpus does not know the second as part of it."""
     own = found.where("kind = 'address'")
     a = own.select("doc_id", "start_pos", "end_pos", F.col("terms")[0].alias("w1"), F.when(F.size("terms") == 4, F.col("terms")[1]).alias("w2"), F.element_at("terms", -2).alias("closed"), F.element_at("terms", -1).cast("long").alias("short_end"))
-    towns = a.where("closed = 'sure'").groupBy("w1").agg(F.count("*").alias("n"), F.count("w2").alias("n2"))
-    pairs = a.where("w2 is not null").groupBy("w1", "w2").agg(F.count("*").alias("n12"), F.sum(F.when(F.col("closed") == "sure", 1).otherwise(0)).alias("closed12"))
+    towns = a.where("closed <> 'open'").groupBy("w1").agg(F.count("*").alias("n"), F.count("w2").alias("n2"))
+    pairs = a.where("w2 is not null").groupBy("w1", "w2").agg(F.count("*").alias("n12"), F.sum(F.when(F.col("closed") != "open", 1).otherwise(0)).alias("closed12"))
     known = a.join(towns, "w1", "left").join(pairs, ["w1", "w2"], "left")
-    both = (F.col("closed") == "sure") | (F.coalesce("closed12", F.lit(0)) * 2 >= F.coalesce("n", F.lit(0))) & ~F.col("w2").isin(*sorted(NOT_NAMES))
+    both = (F.col("closed") == "coded") | (F.coalesce("closed12", F.lit(0)) * 2 >= F.coalesce("n", F.lit(0))) & ~F.col("w2").isin(*sorted(NOT_NAMES))
     return known.select("doc_id", F.lit("address").alias("kind"), "start_pos", F.when(F.col("w2").isNull() | both, F.col("end_pos")).otherwise(F.col("short_end")).alias("end_pos"))
 
 

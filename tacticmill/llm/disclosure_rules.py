@@ -59,7 +59,8 @@ _NUMBER = re.compile(
     r"(?<![\w.:,/#@+$*^=-])(?<!\d )"
     r"(?:\+\d{1,3}[ .-]?(?:\(0\)[ ]?)?\d(?:[ .-]?\d){6,13}"
     r"|\(\d{2,4}\)[ ]?\d{3,5}[ .-]?\d{3,5}"
-    r"|[A-Z]{1,2}(?:[ -]\d{2,4}){2,4}(?:[ ][A-Z](?!\w))?"
+    r"|[A-Z]{2}(?:[ ]\d{2}){3}[ ][A-Z](?!\w)"
+    r"|[A-Z]{1,2}(?:[ -]\d{2,4}){2,4}"
     r"|[A-Z]-\d{2}/\d{3,6}"
     r"|[A-Z]{1,2}\d{6,9}[A-Z]?"
     r"|\d{1,6}(?:[ .-]\d{2,6}){1,5}"
@@ -86,7 +87,7 @@ _BREAK = r"(?:,?[ ]*\n[ \t]*(?:(?:--|>|-|#|//)[ ]?)?|,[ ]+)"
 _CODE = r"(?:\d{5}|\d{2}-\d{3}|\d{4})"
 ADDRESS = re.compile(
     rf"(?<![\w.:/-])(?:"
-    rf"\d{{1,5}}[A-Za-z]?(?:[ ](?:{_PART})(?:[’']s?)?){{1,4}}?[ ]{_STREET_EN}{_BREAK}(?P<t1>{_TOWN})(?:[ ](?P<c1>{_CODE})(?!\w))?"
+    rf"\d{{1,5}}[A-Za-z]?(?:[ ](?:{_PART})(?:[’']s?)?){{1,4}}?[ ]{_STREET_EN}{_BREAK}(?P<t1>{_TOWN})(?:[ ](?P<c1>{_CODE})(?![\w-]))?"
     rf"|\d{{1,5}}(?:[ ](?:bis|ter))?,?[ ](?:rue|avenue|boulevard|place|chemin|quai|impasse|allée)[ ](?:(?:de|du|des|la|le|les|l[’'])[ ]?)*(?:{_PART})(?:[ -](?:{_PART}))*{_BREAK}(?P<c2>{_CODE})[ ](?P<t2>{_TOWN})"
     rf"|(?:Calle|Avenida|Plaza|Paseo|Camino|Via|Viale|Piazza|Rua)(?:[ ](?:de|del|de la|della|do|da))?(?:[ ](?:{_PART})){{1,4}},?[ ]\d{{1,5}}[a-z]?{_BREAK}(?P<c3>{_CODE})[ ](?P<t3>{_TOWN})"
     rf"|(?:[{_UP}][{_LOW}]+(?:weg|straße|strasse|pfad|gasse|allee|platz|ring|damm|ufer|str\.)|(?:Am|Im|An der|Zum|Zur)(?:[ ]{_PART}){{1,3}})[ ]\d{{1,5}}[a-z]?{_BREAK}(?P<c4>{_CODE})[ ](?P<t4>{_TOWN})"
@@ -130,9 +131,9 @@ def candidates(text: str) -> list[Candidate]:
         seed = "address" if ADDRESS_BEFORE.search(bare[max(0, m.start() - 48) : m.start()]) else ""
         end = m.end()
         # a second capitalised word may be the town's or open the next sentence: the corpus decides
-        sure = len(words) == 1 or coded or not re.match(rf"[ \u00a0][{_LOW}`\d(]", bare[end : end + 2])
+        closed = "coded" if coded else "sure" if re.match(r"[.,;)\n]|[ \u00a0]?。|\s*$", bare[end : end + 3]) or len(words) == 1 else "open"
         short = end - len(words[-1]) - 1 if len(words) == 2 and not coded else end
-        out.append(Candidate("address", m.start(), end, seed, [*words, "sure" if sure else "open", str(short)], _before(bare, m.start())))
+        out.append(Candidate("address", m.start(), end, seed, [*words, closed, str(short)], _before(bare, m.start())))
         taken[m.start() : end] = b"\x01" * (end - m.start())
     for m in _NUMBER.finditer(bare):
         s = m.group(0)
@@ -153,7 +154,7 @@ def candidates(text: str) -> list[Candidate]:
         head = head if head.endswith(".") and len(head) == 2 else head.rstrip(".,")
         if m.group("first") and first.endswith(".") and not NAME_BEFORE.search(bare[max(0, m.start() - 24) : m.start()]):
             more = _MORE.match(bare, m.end())
-            if more and more.group(1) not in NOT_NAMES:
+            if m.group("middle") or more and more.group(1) not in NOT_NAMES:
                 # the initial ends the sentence before
                 at = m.start() + len(first)
                 continue
