@@ -47,6 +47,33 @@ def prefix(steps: DataFrame, key: str, step: str, value: str) -> DataFrame:
     return g.select(key, F.col(f"s.{value}").alias("values"))
 
 
+def replay_chains(errors: DataFrame, steps: DataFrame, unnamed: str = "_example") -> DataFrame:
+    """The errors with (cos_id, step, status): the chain and step that each is replayed to; status is NULL if there is one.
+
+    Errors of a theorem go to its least chain by name. The chains under the name
+    ``unnamed`` are different theorems, so their errors, and errors without a usable step
+    index, are found by tactic and state. What has no chain keeps its row:
+    'no_steps' (unknown theorem), 'step_not_found', or 'ambiguous' (content of several unnamed chains).
+    errors: theorem_full_name, step_index, original_tactic, state_before and a key error_id.
+    """
+    by_name = steps.where(F.col("theorem_full_name") != unnamed).groupBy(F.col("theorem_full_name").alias("_name")).agg(F.min("cos_id").alias("_named"))
+    # of equal steps the least chain, in it the last step
+    by_content = steps.groupBy(F.col("theorem_full_name").alias("_theorem"), F.col("tactic").alias("_tactic"), F.col("state_before").alias("_state")).agg(
+        F.countDistinct("cos_id").alias("_chains"), F.max(F.struct((-F.col("cos_id")).alias("c"), F.col("step_index").alias("i"))).alias("_at")
+    )
+    example = F.coalesce(F.col("theorem_full_name") == unnamed, F.lit(False))
+    usable = F.coalesce(F.col("step_index") >= 0, F.lit(False))
+    # the unnamed share no key here, so their number makes no hot one
+    e = errors.withColumn("_key", F.when(example, F.concat(F.lit("\n"), F.col("error_id").cast("string"))).otherwise(F.col("theorem_full_name")))
+    j = e.join(by_name, F.col("_key") == F.col("_name"), "left").join(
+        by_content, (F.col("theorem_full_name") == F.col("_theorem")) & (F.col("original_tactic") == F.col("_tactic")) & (F.col("state_before") == F.col("_state")), "left"
+    )
+    several = example & (F.col("_chains") > 1)
+    cos_id = F.when(several, F.lit(None)).when(example | ~usable, -F.col("_at.c")).otherwise(F.col("_named"))
+    status = F.when(several, "ambiguous").when(~example & F.col("_named").isNull(), "no_steps").when(cos_id.isNull(), "step_not_found")
+    return j.select(*errors.columns, cos_id.alias("cos_id"), F.when(usable, F.col("step_index")).otherwise(F.col("_at.i")).alias("step"), status.alias("status"))
+
+
 def interval_lookup(points: DataFrame, point: str, ranges: DataFrame, lo: str, hi: str, group: str, order: list[str], width: int) -> DataFrame:
     """First closed range that covers each point of the same group.
 

@@ -85,12 +85,11 @@ def stream_append_unseen(spark, d):
 
 @query()
 def verified_errors(spark, d):
-    """Errors replayed against the stand-in kernel."""
-    s = steps(spark, d).where("theorem_full_name <> '_example'")
-    chosen = s.groupBy("theorem_full_name").agg(F.min("cos_id").alias("cos_id"))
-    arrays = chosen.join(J.prefix(s, "cos_id", "step_index", "tactic"), "cos_id")
-    e = records(spark, d, "error_records", "theorem_full_name", "step_index", "error_tactic", "state_before").where("step_index >= 0").join(arrays, "theorem_full_name")
-    rows = e.select("error_id", X.text(F.col("state_before")).alias("goal"), F.expr("slice(values, 1, step_index)").alias("replay"), "error_tactic")
+    """Every error replayed against the stand-in kernel, or with the status that says why there is no chain to replay."""
+    from tacticmill.plans.join_plans import _replays
+
+    e = _replays(spark, d, "error_tactic")
+    rows = e.select("error_id", X.text(F.col("state_before")).alias("goal"), "replay", "error_tactic", "status")
     return kernel.verify(rows, lambda: kernel.StandInKernel(0.3))
 
 

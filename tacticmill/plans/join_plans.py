@@ -101,7 +101,7 @@ def step_by_content(spark, d):
 SELECT error_id, CAST(least(len(v), step_index) AS INTEGER) AS n, md5(array_to_string(v[1:step_index], '|')) AS replay FROM err JOIN c USING (theorem_full_name) JOIN s USING (cos_id) WHERE step_index >= 0"""
 )
 def prefix_replay(spark, d):
-    """All tactics before an error's step, by slicing one ordered array for each chain."""
+    """All tactics before an error's step, by slicing one ordered array for each chain; named theorems only, as its SQL form says. `error_replays` has every error."""
     s = steps(spark, d)
     chosen = s.where("theorem_full_name <> '_example'").groupBy("theorem_full_name").agg(F.min("cos_id").alias("cos_id"))
     arrays = chosen.join(J.prefix(s, "cos_id", "step_index", "tactic"), "cos_id")
@@ -110,6 +110,20 @@ def prefix_replay(spark, d):
     return e.join(arrays, "theorem_full_name").select("error_id", F.size(p).alias("n"), F.md5(F.array_join(p, "|")).alias("replay"))
 
 
+def _replays(spark, d, *columns):
+    s = steps(spark, d)
+    e = J.replay_chains(records(spark, d, "error_records", "theorem_full_name", "step_index", "original_tactic", "state_before", *columns), s)
+    e = e.join(J.prefix(s, "cos_id", "step_index", "tactic"), "cos_id", "left")
+    return e.withColumn("replay", F.expr("slice(values, 1, step)")).drop("values")
+
+
+@query()
+def error_replays(spark, d):
+    """Every error with the tactics before its step, or the status that says why there are none (`ambiguous`, `step_not_found`, `no_steps`)."""
+    e = _replays(spark, d)
+    return e.select("error_id", "cos_id", F.coalesce("status", F.lit("found")).alias("status"), F.when(F.col("cos_id").isNotNull(), F.size("replay")).alias("n"), F.md5(F.array_join("replay", "|")).alias("replay"))
+
+
 @query(f"WITH {ERR}, {REF} SELECT error_id FROM err WHERE error_id NOT IN (SELECT error_id FROM ref)")
 def resume_anti_join(spark, d):
     """Errors that have no reflection yet."""

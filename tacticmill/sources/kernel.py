@@ -44,7 +44,8 @@ VERIFIED = "error_id long, verification_status string, error_message string"
 def verify(errors: DataFrame, kernel: Callable[[], Kernel]) -> DataFrame:
     """(error_id, verification_status, error_message): replays the prefix, then expects the faulty tactic to fail.
 
-    errors: (error_id, goal, replay array of earlier tactics, error_tactic).
+    errors: (error_id, goal, replay array of earlier tactics, error_tactic), and status where a row
+    has been given one already and is not replayed.
     Every partition starts one kernel; a row's prefix is replayed in the row's task.
     """
 
@@ -53,6 +54,9 @@ def verify(errors: DataFrame, kernel: Callable[[], Kernel]) -> DataFrame:
         for frame in frames:
             out = []
             for row in frame.itertuples():
+                if isinstance(given := getattr(row, "status", None), str):
+                    out.append((row.error_id, given, ""))
+                    continue
                 status, message = "verified", ""
                 try:
                     state = k.start(row.goal)
