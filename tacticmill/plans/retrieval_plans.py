@@ -110,16 +110,23 @@ def encode_text(spark, d):
 
 @query()
 def contrastive_samples(spark, d):
-    """Query state, its cited premise and the seven nearest other premises, with train/val/test by theorem."""
+    """Every step's state with each premise its tactic cites and the seven nearest other premises, with train/val/test by full theorem name.
+
+    Equal states are searched once. States without an identifier have no vector and give no sample, as samples without negatives are dropped.
+    """
     from tacticmill.operators.windows import ratio_split
-    from tacticmill.plans.base import steps
     from tacticmill.plans.join_plans import _premises
 
     cited, resolved = _premises(spark, d)
-    pos = cited.join(resolved, "cited").where("cos_id % 100 = 0").select(F.concat_ws("-", "cos_id", "step_index").alias("qid"), "cos_id", F.col("state_before").alias("text"), F.col("target").alias("name"))
-    q = cut(V.hashed_vectors(pos.select("qid", "text").distinct(), "qid", "text"), "query-vectors")
+    pos = cited.join(resolved, "cited").select("cos_id", "step_index", F.md5("state_before").alias("sid"), F.col("state_before").alias("text"), F.col("target").alias("name")).distinct()
+    pos = cut(pos, "positive-pairs")
+    q = cut(V.hashed_vectors(pos.groupBy("sid").agg(F.first("text").alias("text")), "sid", "text"), "query-vectors")
     v = cut(V.hashed_vectors(table(spark, d, "corpus").select("name", "type_expr"), "name", "type_expr"), "corpus-vectors")
-    near = V.dense_topk(q, "qid", v, "name", "v", 50)
-    negatives = V.hard_negatives(near, pos, "qid", "name", 7).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("n"))
-    parts = ratio_split(steps(spark, d), "cos_id", {"train": 0.8, "val": 0.1, "test": 0.1})
-    return pos.join(negatives, "qid").join(parts, "cos_id").select("qid", F.col("name").alias("positive"), F.array_join("n.name", ",").alias("negatives"), F.size("n").alias("num_negatives"), "split")
+    near = V.dense_topk(q, "sid", v, "name", "v", 50).groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("near"))
+    queries = pos.groupBy("cos_id", "step_index", "sid").agg(F.collect_set("name").alias("positives")).join(near, "sid")
+    queries = queries.withColumn("n", F.slice(F.array_except("near.name", "positives"), 1, 7)).where(F.size("n") > 0)
+    theorem = F.coalesce("theorem_full_name", F.concat(F.lit("\n"), F.col("cos_id").cast("string"))).alias("theorem")
+    chains = records(spark, d, "cos_records", "theorem_full_name").select("cos_id", theorem)
+    parts = chains.join(ratio_split(chains, "theorem", {"train": 0.8, "val": 0.1, "test": 0.1}), "theorem").select("cos_id", "split")
+    samples = queries.join(parts, "cos_id").select(F.concat_ws("-", "cos_id", "step_index").alias("qid"), F.explode("positives").alias("positive"), "n", "split")
+    return samples.select("qid", "positive", F.array_join("n", ",").alias("negatives"), F.size("n").alias("num_negatives"), "split")

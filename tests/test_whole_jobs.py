@@ -1,5 +1,7 @@
 """Operators and queries give every row they owe."""
 
+from pyspark.sql import functions as F
+
 from tacticmill.operators import joins as J
 from tacticmill.sources import kernel
 
@@ -33,3 +35,19 @@ def test_all_errors_are_replayed_and_verified(spark, sf_dir):
     for name in ("error_replays", "verified_errors"):
         out = queries()[name](spark, sf_dir)
         assert out.count() == out.select("error_id").distinct().count() == wanted
+
+
+def test_every_pair_is_a_sample_and_theorems_stay_whole(spark, sf_dir):
+    from tacticmill.functions.text import identifiers
+    from tacticmill.plans.base import records
+    from tacticmill.plans.join_plans import _premises
+    from tacticmill.plans.registry import queries
+
+    cited, resolved = _premises(spark, sf_dir)
+    pairs = cited.where(F.size(identifiers(F.col("state_before"))) > 0).join(resolved, "cited").select(F.concat_ws("-", "cos_id", "step_index").alias("qid"), F.col("target").alias("positive")).distinct()
+    got = queries()["contrastive_samples"](spark, sf_dir).cache()
+    assert got.count() == pairs.count() == pairs.join(got, ["qid", "positive"]).count()
+    assert all(r["positive"] not in r["negatives"].split(",") for r in got.collect())
+    theorems = records(spark, sf_dir, "cos_records", "theorem_full_name")
+    by = got.join(theorems, F.split("qid", "-")[0].cast("long") == F.col("cos_id")).groupBy("theorem_full_name").agg(F.countDistinct("split").alias("n"))
+    assert by.where("n > 1").count() == 0
