@@ -16,8 +16,8 @@ partial aggregate, whichever share of all rows they are; the sums by source have
 one row for each source of the target table.
 
 Defined results: texts of no tokens (NULL, empty) are not used; a text posted
-under several ids counts as the one text of its least id; sources without a
-target, or NULL, get none; a listed source without texts has rate NULL and its share
+under several ids counts as one text, of its least id among the rows of listed
+sources; sources without a target, or NULL, get none; a listed source without texts has rate NULL and its share
 goes to the others in proportion; an empty table gives an empty mix.
 """
 
@@ -30,8 +30,15 @@ from tacticmill.llm.encoding import count_tokens
 from tacticmill.session import cut
 
 
-def sized_texts(df: DataFrame, key: str, text: str, source: str, path: str) -> DataFrame:
-    """(key, source, n_tokens) of each distinct text."""
+def wanted_sources(targets: DataFrame) -> DataFrame:
+    """(source, target_share, max_repeats) of each source that is to get a share."""
+    return targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+
+
+def sized_texts(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, path: str) -> DataFrame:
+    """(key, source, n_tokens) of each distinct text that a source with a target holds."""
+    listed = F.broadcast(wanted_sources(targets).select(F.col("source").alias(source)))
+    df = df.select(key, text, source).join(listed, source, "left_semi")
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.md5(F.col(text)).alias("digest"), count_tokens(F.col(text), path).alias("n_tokens"))
     first = rows.where("n_tokens > 0").groupBy("digest").agg(F.min(F.struct("key", "source", "n_tokens")).alias("t"))
     return first.select(F.col("t.key").alias(key), F.col("t.source").alias("source"), F.col("t.n_tokens").alias("n_tokens"))
@@ -39,7 +46,7 @@ def sized_texts(df: DataFrame, key: str, text: str, source: str, path: str) -> D
 
 def rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, available, rate) of each source of the target table."""
-    wanted = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    wanted = wanted_sources(targets)
     have = sized.groupBy("source").agg(F.sum("n_tokens").alias("available"))
     both = wanted.join(have, "source", "left")
     # one number; normalising the shares would cancel in p T / N
@@ -69,7 +76,7 @@ def shares(mixed: DataFrame, rate: DataFrame) -> DataFrame:
 
 def mixture(df: DataFrame, targets: DataFrame, key: str, text: str, source: str, path: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(mix, shares) of a table of texts."""
-    sized = cut(sized_texts(df, key, text, source, path), "mix-sizes")
+    sized = cut(sized_texts(df, targets, key, text, source, path), "mix-sizes")
     rate = cut(rates(sized, targets), "mix-rates")
     mixed = mix(sized, rate, key, seed)
     return mixed, shares(mixed, rate)
