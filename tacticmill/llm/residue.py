@@ -14,8 +14,9 @@ A field is a case if one of its windows is covered. Document frequencies are
 those of all windows of all texts handed over.
 
 One pass over the texts writes the few windows that retrieve anything and the
-partial token counts; the idf table that is then gathered has at most one row
-for each token of the exemplars, whatever the corpus holds.
+partial counts of all tokens. The counts are summed in a distributed aggregate
+and joined to the windows, so every word has its own idf and coverage depends on shares,
+not on the number of rows; only the counts of exemplar tokens are gathered, at most one row each.
 
 Defined results: NULL and empty texts are no case; notes that nothing is left
 to prove, ASCII states and mathematics with braces, brackets, string literals
@@ -212,7 +213,7 @@ def _scan(fields: list[str]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, list[str]] = {}
-        sizes: dict[str, int] = {}
+        sizes: dict[str, Counter[str]] = {}
         for batch in batches:
             rows: list[tuple] = []
             frequency: Counter[str] = Counter()
@@ -232,10 +233,11 @@ def _scan(fields: list[str]):
                             if _HINT.search(text) or any(w in POSTINGS for w in map(str.lower, _WORD.findall(text))):
                                 hits = [w for w in parts if any(retrieves(w))]
                             known[text] = hits
-                            sizes[text] = len(parts)
-                        frequency["\n"] += sizes[text]
+                            sizes[text] = Counter({"\n": len(parts)})
+                            for w in parts:
+                                sizes[text].update(set(word_tokens(w)))
+                        frequency.update(sizes[text])
                         for window in known[text]:
-                            frequency.update(set(word_tokens(window)) & POSTINGS.keys())
                             rows.append(("window", row_id, field, window, 1))
             rows += [("df", None, None, token, n) for token, n in frequency.items()]
             if rows:
@@ -256,15 +258,28 @@ def residue_cases(scans: list[DataFrame]) -> DataFrame:
     for other in scans[1:]:
         scanned = scanned.unionByName(other)
     scanned = cut(scanned, "residue")
+    counts = scanned.where("kind = 'df'").groupBy(F.col("text").alias("token")).agg(F.sum("n").alias("n"))
     # at most one row for each token of the exemplars
-    counts = {r["text"]: r["n"] for r in scanned.where("kind = 'df'").groupBy("text").agg(F.sum("n").alias("n")).collect()}
-    total = counts.pop("\n", 0)
-    idf = {token: math.log((total + 1) / (n + 1)) for token, n in counts.items()}
+    fixed = {r["token"]: r["n"] for r in counts.where(F.col("token").isin("\n", *POSTINGS)).collect()}
+    total = fixed.pop("\n", 0)
     unseen = math.log(total + 1)
 
-    @F.pandas_udf(T.BooleanType())
-    def is_residue(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: covered(t, idf, unseen)).astype(bool)
+    def idf_of(tokens: dict[str, int]) -> dict[str, float]:
+        return {token: math.log((total + 1) / (n + 1)) for token, n in tokens.items()}
+
+    idf = idf_of(fixed)
 
-    cases = scanned.where("kind = 'window'").select("table_name", "row_id", "field", "text").where(is_residue("text"))
-    return cases.select("table_name", "row_id", "field").distinct()
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def other_words(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sorted(set(word_tokens(t)) - POSTINGS.keys()))
+
+    @F.pandas_udf(T.BooleanType())
+    def is_residue(texts: pd.Series, tokens: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([covered(t, idf | idf_of(dict(zip(k, v))), unseen) for t, k, v in zip(texts, tokens, n)], dtype=bool)
+
+    found = scanned.where("kind = 'window'").select("table_name", "row_id", "field", "text")
+    # a window without other words keeps its row
+    words = found.select("text").distinct().select("text", F.explode_outer(other_words("text")).alias("token"))
+    pairs = F.collect_list(F.when(F.col("n").isNotNull(), F.struct("token", "n")))
+    judged = words.join(counts, "token", "left").groupBy("text").agg(pairs.alias("w")).where(is_residue("text", F.col("w.token"), F.col("w.n")))
+    return found.join(judged, "text", "left_semi").select("table_name", "row_id", "field").distinct()
