@@ -5,125 +5,219 @@ numbers and street addresses; ``sanitised`` puts typed placeholders in their pla
 leaves the rest of the text as it is.
 
 Method. Information-theoretic sanitisation. Every text yields candidate spans
-with terms (the parts of a name, the shape of a number) and contexts (the words
-before and after). Where a label or call states what a candidate is, it counts
-as a protected entity. Over the whole corpus the co-occurrence of each term and
-each context with protected entities is counted, and gives how many bits
-it discloses of one: log2 P(entity | term) / P(entity). An unlabelled
-candidate is judged by its terms and contexts together: it is an item if the sum exceeds the
-disclosure threshold and its terms are seen with entities at all. The counts are
-taken twice; the items of the first round count as entities in the second.
-Emails and addresses are told by form; whether the second capitalised word
-after a street belongs to the town is decided by how often the corpus has both
-words as a town, with and without something that closes it.
-
-Scale. One pass over the texts writes the candidates; counts are partial
-aggregates and joins on terms, nothing is collected or broadcast, and a term that a third
-of all rows hold is one row of the counts.
+by form, with terms (the parts of a name, the shape of a number, the town and kind of
+street, the host of an address of mail) and contexts (the tokens to the left and right). What states its kind by
+itself (a title, a country code, a postal code ...) counts as a protected
+entity. How much a term or context discloses is counted over the corpus:
+log2 P(entity | term) / P(entity), in bits, where P(entity | term) is taken over all
+occurrences of the term, as a word too. A candidate is an item if its terms and contexts
+together disclose more than THRESHOLD bits (terms against the share of its kind among all candidates, contexts
+against the share of entities within the kind) and none of its terms speaks strongly against it; that holds
+for the stated ones as well.
+
+Few entities state themselves, so a context never seen with a stated one says nothing yet. A
+candidate that states nothing therefore counts in its contexts as an entity by the
+least P(entity | term) of its terms seen elsewhere; in the second round the items of the first count as entities and the others as none. A candidate's own
+occurrence is left out of the counts it is judged by. Of overlapping readings of a text
+those stay whose terms disclose most together.
+
+Scale. One pass over the texts writes the candidates and partial word counts; counts are partial
+aggregates and joins on terms, and a term that a third of all rows hold is one row of the counts.
+Only the five kinds' shares of entities among candidates reach the driver.
 
 Defined results: NULL and empty texts have no items; positions count code
-points of the text as it is; items of one text do not overlap, the earlier and
-longer wins; repeated rows give the same items and count once; an empty table
-gives no items; texts are read whole.
+points of the text as it is; items of one text do not overlap; repeated rows give the same
+items and count once; an empty table gives no items; texts are read whole.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tacticmill.llm.disclosure_rules import NOT_NAMES, candidates
+from tacticmill.llm.disclosure_rules import bare, candidates, words
 from tacticmill.session import cut
 
-THRESHOLD = 0.5  # bits
+THRESHOLD = 1.0  # bits that terms and contexts disclose together
+FLOOR = -5.0  # the most that a context says against a candidate
+VETO = -6.0  # no item has a term below
+WEIGHT = 1.0  # occurrences that the prior share counts for
+ROUNDS = 2
 PLACEHOLDER = {"name": "[NAME]", "email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID]", "address": "[ADDRESS]"}
 
-_CANDIDATE = "doc_id long, kind string, start_pos long, end_pos long, seed string, terms array<string>, contexts array<string>"
+_WORDS = 100_000  # words counted before a partial count is written
+_SCAN = "doc_id long, kind string, start_pos long, end_pos long, seed string, terms array<string>, contexts array<string>, closed string, second string, short_end long, n long"
+_COLUMNS = ["doc_id", "kind", "start_pos", "end_pos", "seed", "terms", "contexts", "closed", "second", "short_end", "n"]
+_ID = ["doc_id", "as_kind", "start_pos", "end_pos"]
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    df = pd.DataFrame(rows, columns=_COLUMNS)
+    return df.astype({c: "Int64" for c in ("doc_id", "start_pos", "end_pos", "short_end", "n")})
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [(doc, *c) for doc, text in zip(batch["doc_id"], batch["text"]) if text for c in candidates(text)]
-        if rows:
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "start_pos", "end_pos", "seed", "terms", "contexts"])
-
-
-def _judged(found: DataFrame, kinds: list[str], source_kind: str, prior_weight: float = 0.5) -> DataFrame:
-    """(doc_id, start_pos, end_pos, as_kind, bits) of the unlabelled candidates of a kind, by corpus co-occurrence."""
-    own = found.where(F.col("kind") == source_kind)
-    features = own.select(
-        "doc_id", "start_pos", "end_pos", "seed",
-        F.explode(F.concat(F.transform("terms", lambda t: F.struct(F.lit("term").alias("role"), t.alias("feature"))), F.transform("contexts", lambda c: F.struct(F.lit("context").alias("role"), c.alias("feature"))))).alias("f"),
-    ).select("doc_id", "start_pos", "end_pos", "seed", "f.role", "f.feature")
-    open_rows = own.where("seed = ''").select("doc_id", "start_pos", "end_pos", F.size("terms").alias("n_terms"))
-    result = None
-    for kind in kinds:
-        hit = (F.col("seed") == kind).cast("long")
-        rate = own.agg(((F.sum(hit) + prior_weight) / (F.count("*") + 1)).alias("p")).first()[0] or prior_weight
-        counts = features.groupBy("role", "feature").agg(F.count("*").alias("n"), F.sum(hit).alias("hits"))
-        # without the occurrence that is judged, so that what is seen nowhere else says nothing
-        bits = counts.select("role", "feature", "hits", F.log2((F.col("hits") + prior_weight * rate) / (F.greatest(F.col("n") - 1, F.lit(0)) + prior_weight) / rate).alias("bits"))
-        seen = features.where("seed = ''").join(bits, ["role", "feature"])
-        scored = seen.groupBy("doc_id", "start_pos", "end_pos").agg(
-            F.avg(F.when(F.col("role") == "term", F.col("bits"))).alias("term_bits"),
-            F.max(F.when(F.col("role") == "context", F.col("bits"))).alias("context_bits"),
-            F.sum(F.when((F.col("role") == "term") & (F.col("hits") > 0), 1).otherwise(0)).alias("known"),
-            F.max(F.when((F.col("role") == "context") & (F.col("hits") > 1), 1).otherwise(0)).alias("placed"),
-        )
-        kept = scored.join(open_rows, ["doc_id", "start_pos", "end_pos"]).where((F.col("term_bits") + F.col("context_bits") > THRESHOLD) & ((F.col("known") == F.col("n_terms")) | (F.col("placed") == 1) & (F.col("term_bits") > -1)))
-        part = kept.select("doc_id", "start_pos", "end_pos", F.lit(kind).alias("as_kind"), (F.col("term_bits") + F.col("context_bits")).alias("bits"))
-        result = part if result is None else result.union(part)
-    best = result.groupBy("doc_id", "start_pos", "end_pos").agg(F.max(F.struct("bits", "as_kind")).alias("best"))
-    return best.select("doc_id", "start_pos", "end_pos", F.col("best.as_kind").alias("as_kind"))
-
-
-def _rounds(found: DataFrame, kinds: list[str], source_kind: str) -> DataFrame:
-    """Two rounds: what the first accepts is an entity to the second."""
-    own = found.where(F.col("kind") == source_kind)
-    first = cut(_judged(own, kinds, source_kind), "items-first")
-    again = own.join(first, ["doc_id", "start_pos", "end_pos"], "left").withColumn("seed", F.when((F.col("seed") == "") & F.col("as_kind").isNotNull(), F.col("as_kind")).otherwise(F.col("seed"))).drop("as_kind")
-    again = cut(again, "items-again")
-    second = _judged(again, kinds, source_kind)
-    sure = again.where("seed <> ''").select("doc_id", "start_pos", "end_pos", F.col("seed").alias("as_kind"))
-    return sure.union(second).select("doc_id", F.col("as_kind").alias("kind"), "start_pos", "end_pos")
-
-
-def _addresses(found: DataFrame) -> DataFrame:
-    """Addresses, the town cut to one word where the corpus does not know the second as part of it."""
-    own = found.where("kind = 'address'")
-    a = own.select("doc_id", "start_pos", "end_pos", F.col("terms")[0].alias("w1"), F.when(F.size("terms") == 4, F.col("terms")[1]).alias("w2"), F.element_at("terms", -2).alias("closed"), F.element_at("terms", -1).cast("long").alias("short_end"))
-    towns = a.where("closed <> 'open'").groupBy("w1").agg(F.count("*").alias("n"), F.count("w2").alias("n2"))
-    pairs = a.where("w2 is not null").groupBy("w1", "w2").agg(F.count("*").alias("n12"), F.sum(F.when(F.col("closed") != "open", 1).otherwise(0)).alias("closed12"))
-    known = a.join(towns, "w1", "left").join(pairs, ["w1", "w2"], "left")
-    both = (F.col("closed") == "coded") | (F.coalesce("closed12", F.lit(0)) * 2 >= F.coalesce("n", F.lit(0))) & ~F.col("w2").isin(*sorted(NOT_NAMES))
-    return known.select("doc_id", F.lit("address").alias("kind"), "start_pos", F.when(F.col("w2").isNull() | both, F.col("end_pos")).otherwise(F.col("short_end")).alias("end_pos"))
+    counts: Counter[str] = Counter()
 
+    def counted() -> list[tuple]:
+        rows = [(None, "word", None, None, w, None, None, None, None, None, n) for w, n in counts.items()]
+        counts.clear()
+        return rows
 
-def personal_items(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, kind, start_pos, end_pos), one row for each item; doc_id is named like key."""
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = cut(rows.mapInPandas(_extract, _CANDIDATE).dropDuplicates(["doc_id", "kind", "start_pos", "end_pos"]), "items")
-    emails = found.where("kind = 'email'").select("doc_id", "kind", "start_pos", "end_pos")
-    everything = emails.union(_addresses(found)).union(_rounds(found, ["phone", "id_number"], "number")).union(_rounds(found, ["name"], "name"))
-    return _apart(everything).withColumnRenamed("doc_id", key)
+    for batch in batches:
+        rows: list[tuple] = []
+        for doc, text in zip(batch["doc_id"], batch["text"]):
+            if not text:
+                continue
+            plain = bare(text)
+            counts.update(words(plain))
+            rows += [(doc, *c, 1) for c in candidates(plain)]
+            if len(counts) > _WORDS:
+                rows += counted()
+        if rows:
+            yield _frame(rows)
+    if counts:
+        yield _frame(counted())
+
+
+def _bits(hits: Column, n: Column, share: Column) -> Column:
+    return F.log2((hits + WEIGHT * share) / (n + WEIGHT) / share)
+
+
+def _shares(labelled: DataFrame, label: Column) -> tuple[Column, Column]:
+    """Each kind's share of entities, among the candidates of all kinds and among its own: five rows."""
+    rows = labelled.groupBy("as_kind").agg(F.count(label).alias("n"), F.sum(label).alias("hits")).collect()
+    if not rows:
+        return F.lit(0.5), F.lit(0.5)
+    n = sum(r["n"] for r in rows)
+    hits = {r["as_kind"]: (r["hits"] or 0) + 0.5 for r in rows}
+    every = F.create_map(*[F.lit(v) for k, h in hits.items() for v in (k, h / (n + 1))])
+    own = F.create_map(*[F.lit(v) for r in rows for v in (r["as_kind"], hits[r["as_kind"]] / (r["n"] + 1))])
+    return every[F.col("as_kind")], own[F.col("as_kind")]
+
+
+def _term_view(own: DataFrame, spoken: DataFrame) -> DataFrame:
+    """own with the bits of its terms: the least and the sum."""
+    share, _ = _shares(own, F.coalesce("label", F.lit(0)))
+    hit = F.when(F.col("label") == 1, 1).otherwise(0)
+    terms = own.withColumn("term", F.explode("terms"))
+    counts = terms.groupBy("as_kind", "term").agg(F.count("*").alias("n"), F.sum(hit).alias("hits")).join(spoken, "term", "left")
+    counts = counts.select("as_kind", "term", "hits", F.greatest("n", F.coalesce("spoken", F.lit(0))).alias("n"))
+    others = F.col("hits") - hit
+    seen = terms.join(counts, ["as_kind", "term"]).withColumn("bits", F.round(_bits(others, F.greatest(F.col("n") - 1, others), share), 6))
+    keep = [F.first(c).alias(c) for c in ("label", "stated", "contexts")] + [(F.pow(F.lit(2.0), F.coalesce(F.min(F.when(F.col("n") > 1, F.col("bits"))), F.lit(0.0))) * F.first(share)).alias("chance")]
+    return seen.groupBy(*_ID).agg(F.min("bits").alias("least"), F.sum("bits").alias("term_bits"), F.sum(F.greatest("bits", F.lit(0.0))).alias("told"), *keep)
+
+
+def _judged(own: DataFrame, spoken: DataFrame) -> DataFrame:
+    """(id, stated, told, bits) of the candidates that terms and contexts disclose."""
+    seen = cut(_term_view(own, spoken).withColumn("view", F.least(F.coalesce(F.col("label").cast("double"), "chance"), F.lit(1.0))), "items-view")
+    _, share = _shares(seen, F.col("view"))
+    placed = seen.select(*_ID, "view", "least", "term_bits", "told", "stated", F.posexplode("contexts").alias("slot", "context"))
+    counts = placed.groupBy("as_kind", "slot", "context").agg(F.count("*").alias("n"), F.sum("view").alias("hits"))
+    both = placed.join(counts, ["as_kind", "slot", "context"])
+    # sums of shares may differ in their last bits from run to run
+    bits = F.round(_bits(F.greatest(F.col("hits") - F.col("view"), F.lit(0.0)), F.col("n") - 1, share), 6)
+    both = both.select(*_ID, "least", "term_bits", "told", "stated", "slot", (F.col("n") - 1).alias("n"), F.greatest(bits, F.lit(FLOOR)).alias("bits"))
+
+    def side(one: int, two: int) -> Column:
+        """The bits of two tokens where they were seen four times elsewhere, else those of one."""
+        long = F.max(F.when((F.col("slot") == two) & (F.col("n") >= 4), F.col("bits")))
+        return F.coalesce(long, F.max(F.when(F.col("slot") == one, F.col("bits"))))
+
+    scored = both.groupBy(*_ID).agg(F.first("least").alias("least"), F.first("term_bits").alias("term_bits"), F.first("told").alias("told"), F.first("stated").alias("stated"), (side(0, 1) + side(2, 3)).alias("placed"))
+    scored = scored.withColumn("bits", F.col("term_bits") + F.col("placed"))
+    return scored.where((F.col("least") > VETO) & ((F.col("stated") == 1) | (F.col("stated") == 0) & (F.col("bits") > THRESHOLD))).select(*_ID, "stated", "told", "bits")
+
+
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _best_readings(readings: pd.Series) -> pd.Series:
+    """True for the readings of a text that do not overlap and together weigh most."""
+    out = []
+    for spans in readings:
+        order = sorted(range(len(spans)), key=lambda i: (spans[i]["end_pos"], spans[i]["start_pos"], spans[i]["as_kind"]))
+        ends, best, taken = [], [0.0], [(-1, 0)]
+        for i in order:
+            before = bisect_right(ends, spans[i]["start_pos"])
+            w = best[before] + spans[i]["weight"]
+            ends.append(spans[i]["end_pos"])
+            if w > best[-1]:
+                best.append(w)
+                taken.append((i, before))
+            else:
+                best.append(best[-1])
+                taken.append((-1, len(best) - 2))
+        kept, at = [False] * len(order), len(order)
+        while at:
+            i, at = taken[at]
+            if i >= 0:
+                kept[i] = True
+        out.append(kept)
+    return pd.Series(out, dtype=object)
 
 
 def _apart(items: DataFrame) -> DataFrame:
-    """Of overlapping items of one text the earlier and longer stays: a fold over the text's sorted items, whose number its length bounds."""
-    entry = F.struct("start_pos", (-F.col("end_pos")).alias("less_end"), "end_pos", "kind")
-    ordered = items.groupBy("doc_id").agg(F.array_sort(F.collect_set(entry)).alias("all"))
-    none = F.struct(F.slice("all", 1, 0).alias("kept"), F.lit(-1).cast("long").alias("end"))
+    """Of overlapping readings those that weigh most together; the items of a text are bounded by its length."""
+    weight = F.round(F.col("told") + 0.1 * F.greatest("bits", F.lit(0)), 6) + 0.01
+    readings = items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "as_kind", "stated", weight.alias("weight")))).alias("all"))
+    kept = readings.select("doc_id", F.explode(F.arrays_zip(F.col("all").alias("i"), _best_readings("all").alias("kept"))).alias("z")).where("z.kept").select("doc_id", "z.i")
+    return kept.select("doc_id", "i.as_kind", "i.start_pos", "i.end_pos", "i.stated")
+
+
+def disclosed(found: DataFrame) -> DataFrame:
+    """(id, stated) of the items among the candidates of a scan."""
+    spoken = found.where("kind = 'word'").groupBy(F.col("seed").alias("term")).agg(F.sum("n").alias("spoken"))
+    kinds = F.when(F.col("kind") == "number", F.array(F.lit("phone"), F.lit("id_number"))).otherwise(F.array("kind"))
+    rows = found.where("kind <> 'word'").withColumn("as_kind", F.explode(kinds))
+    # 1: stated as this kind, 0: stated as another, which it then is not; NULL: open
+    label = F.when(F.col("seed") == F.col("as_kind"), 1).when(F.col("seed") != "", 0)
+    own = rows.select(*_ID, "terms", "contexts", label.alias("label"), F.when(label == 1, 1).when(label == 0, -1).otherwise(0).alias("stated"))
+    items = cut(_apart(_judged(own, spoken)), "items-round")
+    for _ in range(ROUNDS - 1):
+        again = own.join(items.select(*_ID, F.lit(1).alias("item")), _ID, "left").withColumn("label", F.coalesce("item", F.lit(0))).drop("item")
+        items = cut(_apart(_judged(again, spoken)), "items-round")
+    return items
+
+
+def _town_ends(found: DataFrame) -> DataFrame:
+    """(doc_id, start_pos, end_pos, town_end) of addresses; the town is cut to one word unless the corpus knows the second as part of it.
+
+    It does if the first is mostly followed by it where something closes the town; where the first is never closed,
+    if the second word is mostly said in this place.
+    """
+    a = found.where("kind = 'address'").select("doc_id", "start_pos", "end_pos", "closed", "short_end", F.col("terms")[0].alias("w1"), F.col("second").alias("w2"))
+    towns = a.where("closed <> 'open'").groupBy("w1").agg(F.count("*").alias("n"))
+    pairs = a.where("w2 is not null and closed <> 'open'").groupBy("w1", "w2").agg(F.count("*").alias("n12"))
+    spoken = found.where("kind = 'word'").groupBy(F.col("seed").alias("w2")).agg(F.sum("n").alias("spoken"))
+    seconds = a.where("w2 is not null").groupBy("w2").agg(F.count("*").alias("n2")).join(spoken, "w2", "left")
+    known = a.join(towns, "w1", "left").join(pairs, ["w1", "w2"], "left").join(seconds, "w2", "left")
+    told = F.coalesce(F.coalesce("n12", F.lit(0)) * 2 >= F.col("n"), F.col("n2") * 2 > F.coalesce("spoken", F.lit(0)), F.lit(True))
+    both = (F.col("closed") == "coded") | F.col("w2").isNull() | told
+    return known.select("doc_id", "start_pos", "end_pos", F.when(both, F.col("end_pos")).otherwise(F.col("short_end")).alias("town_end"))
+
+
+def scanned(df: DataFrame, key: str, text: str) -> DataFrame:
+    """One pass over the texts: candidates, and partial counts of words."""
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return cut(rows.mapInPandas(_extract, _SCAN), "items")
 
-    def step(acc, item):
-        free = item["start_pos"] >= acc["end"]
-        return F.struct(F.when(free, F.concat(acc["kept"], F.array(item))).otherwise(acc["kept"]).alias("kept"), F.when(free, item["end_pos"]).otherwise(acc["end"]).alias("end"))
 
-    kept = ordered.select("doc_id", F.explode(F.aggregate("all", none, step)["kept"]).alias("i"))
-    return kept.select("doc_id", "i.kind", "i.start_pos", "i.end_pos")
+def personal_items(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, kind, start_pos, end_pos), one row for each item; doc_id is named like key."""
+    scan = scanned(df, key, text)
+    # repeated rows count once; words have no position
+    once = scan.where("kind <> 'word'").dropDuplicates(["doc_id", "kind", "start_pos", "end_pos"])
+    found = cut(once.unionByName(scan.where("kind = 'word'")), "items-once")
+    items = disclosed(found).withColumnRenamed("as_kind", "kind")
+    ends = _town_ends(found).withColumn("kind", F.lit("address"))
+    out = items.join(ends, ["doc_id", "kind", "start_pos", "end_pos"], "left").select("doc_id", "kind", "start_pos", F.coalesce("town_end", "end_pos").alias("end_pos"))
+    return out.withColumnRenamed("doc_id", key)
 
 
 @F.pandas_udf(T.StringType())

@@ -1,8 +1,17 @@
-"""Candidates for personal information in one text: spans with the terms and contexts the corpus judges them by."""
+"""Candidates for personal information in one text: spans with the terms and contexts the corpus judges them by.
+
+Candidates come from form alone: every pair of capitalised words or of an initial
+and such a word, every number of enough digits, every address-like line, every
+written-out address of mail. No list says which words are names and no sentence frame says where they
+stand. Only what states the kind by itself seeds the counts: a title, a mailbox
+(``Given Surname <address>``) or a trailer's label before or after a name, a label word or a country code
+before a number, a sign @ in an address of mail, a postal code in a street address.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 
@@ -10,9 +19,12 @@ class Candidate(NamedTuple):
     kind: str  # email, number, address, name
     start: int
     end: int
-    seed: str  # the kind that a cue in the text states, or ""
-    terms: list[str]  # what is disclosed: name parts, the shape of a number, town words
-    contexts: list[str]  # what stands before and after
+    seed: str  # the kind that the text states, or ""
+    terms: list[str]  # what is disclosed: name parts, the shape of a number, the town and form of an address, the host of an address of mail
+    contexts: list[str]  # one token to the left, two to the left, one to the right, two to the right
+    closed: str = ""  # whether something closes a town's name
+    second: str | None = None  # the town's second word
+    short_end: int = 0  # end without the town's second word
 
 
 _UP = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĞĢĪĮİŁŃŇŐŘŚŞŠŢŤŪŮŰŹŻŽ"
@@ -22,29 +34,13 @@ _CAPS = rf"[{_UP}]{{3,}}"
 _WORD = rf"(?:{_PART}|{_CAPS})(?:-(?:{_PART}|{_CAPS}))*"
 _SP = r"[ \u00a0\u202f]"
 
-# Capitalised words that open sentences or belong to documents, not to names.
-NOT_NAMES = frozenset(
-    """A An And As At But By Call Case Cas Contact Danke Der Die Das Dr Ein Eine El En For From Für Gracias Harbor He Her His How I If In Issue It La Le
-    Les Los Lives Mail Mark Merci Mr Mrs Ms Miss Nach Nadie No Nobody Note Office Ohne On One Or Our Passport Prof Professor Por Proof Question Readers Recall Release Reported
-    Ring See Seed She Ship Signed Since So Some Student Tag Tel Telefon Thanks That The Their Then There These They This Those Ticket To Una Un Und Une Users
-    Version Wir We What When Where Which While Why With Write You Your Set Send Candidate Adresse Anschrift Bitte Lean Theorem Lemma Lectures Build Atlas Mirror My Address Documento Dirección Numéro Matrikelnummer Ausweisnr Telefonisch Joindre Llame SSN DNI NIE NIF TIN URL API IDE PDF TODO AND NOT THE""".split()
-)
-
-_NAME = re.compile(
-    rf"(?<![\w.@/`+-])(?:(?P<first>{_WORD}|[{_UP}]\.(?:-?[{_UP}]\.)?){_SP}(?P<middle>[{_UP}]\.{_SP})?(?P<last>{_WORD})"
-    rf"|(?P<last2>{_WORD}),{_SP}(?P<first2>{_WORD}|[{_UP}]\.(?![{_LOW}]))(?P<middle2>{_SP}[{_UP}]\.(?![{_LOW}{_UP}]))?)(?![\w@/`(]|\.\w|-\w)"
-)
-
-_MORE = re.compile(rf"{_SP}(?:[{_UP}]\.{_SP})?({_WORD})(?![\w.@/`])")
+_CAPITAL = re.compile(rf"(?<![\w.@/`+-])(?:(?P<initial>[{_UP}]\.(?:-?[{_UP}]\.)?)(?![{_LOW}])|{_WORD}(?![\w@/`(]|\.\w|-\w))")
+# Particles between a given name and a surname.
+_GAP = re.compile(rf"{_SP}(?:(?:van|von|de|da|di|del|bin|ibn|ten|ter)(?:{_SP}(?:der|den|la))?{_SP})?")
 
-# Cues that what follows, or what went before, is a person.
-NAME_BEFORE = re.compile(
-    r"(?:\b(?:Dr|Ms|Mr|Mrs|Prof|Herr|Frau|Mme|Sr|Sra)\.?[ \u00a0]|\bProfessor[ \u00a0]|Thanks to |[Rr]eported by |written by |Signed-off-by: |Co-authored-by: |Reviewed-by: |"
-    r"spoke with |\bcc |Danke an |Merci à |Gracias a |Grazie a |Спасибо, |感谢 ?|Proof sketch \(|(?:^|[\n ])[—–] |^As |[.\n] ?As |-- As |- As |: As |[Cc]ontact |[Aa]uthor:? |[Nn]ame: )$"
-)
-NAME_AFTER = re.compile(
-    r"^(?:[ \u00a0]*<[^<>\s]+(?:[^<>\n]{0,80})>|,? asked why|,? will port|,? pointed out|,? wrote|,? said| for the review| für den Hinweis| pour la relecture| por la revisión| за проверку|[ \u00a0]?的审阅|, please look|\): use| about `)"
-)
+# Titles and labels of trailers that state a person.
+TITLE = re.compile(r"(?:\b(?:Dr|Ms|Mr|Mrs|Prof|Herr|Frau|Mme|Mlle|Sr|Sra|Dott|Dra)\.?[ \u00a0]|\bProfessor[ \u00a0]|\b(?:Signed-off-by|Co-authored-by|Reviewed-by|Author|Name): )$")
+_MAILBOX = re.compile(r"[ \u00a0]<[^<>\n]{0,60}?(?:@|[ (\[{]at[ )\]}])[^<>\n]{1,60}>", re.I)
 
 _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?"
 _HOST = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
@@ -68,16 +64,12 @@ _NUMBER = re.compile(
     r"(?![\w/]|[.,:-]\d|[ ]?(?:ms|%|declarations|cases)\b)"
 )
 
-# Labels and calls in front of numbers.
-PHONE_BEFORE = re.compile(
-    r"(?:\b(?:tel|telephone|phone|mobile|cell|fax|call|ring|dial|text|sms|whatsapp|telefon|handy|téléphone|portable|teléfono|móvil|телефон|тел)\.?:?\s*(?:no\.?|number|unter|at|on)?:?\s*|"
-    r"office line is |the desk on |[Tt]elefonisch unter |[Jj]oindre le |[Ll]lame al |电话[：:]?\s*|Телефон:? )$",
-    re.I,
-)
+# Label words in front of numbers.
+PHONE_BEFORE = re.compile(r"(?:\b(?:tel|telephone|phone|mobile|cell|fax|sms|whatsapp|telefon|handy|téléphone|portable|teléfono|móvil|телефон|тел)\.?:?\s*(?:no\.?|number)?:?\s*|电话[：:]?\s*)$", re.I)
 ID_BEFORE = re.compile(
-    r"(?:\b(?:student|candidate|passport|matriculation|personal|identity|national id(?:entity)?|identification|tax|taxpayer|social security|insurance|id|nino|ssn|nie|dni|nif|tin|ausweis\w*|matrikel\w*|steuer\w*|personal\w*|reisepass\w*|"
-    r"carte|passeport|étudiant|identité|fiscal\w*|pasaporte|matrícula|паспорт\w*|инн|снилс|студенч\w*)\b[\s.:-]*(?:card|id|identity|number|no|nr|num|numéro|número|номер|#|№|de carte|билет\w*)?\s*(?:number|no|nr|is|:)?[\s.:#]*|"
-    r"Ausweisnr\.? |Matrikelnummer:? |Numéro de carte:? |学号[：:]?\s*|身份证号?[：:]?\s*|护照号?[：:]?\s*)$",
+    r"(?:\b(?:student|candidate|passport|matriculation|identity|national id(?:entity)?|identification|tax|taxpayer|social security|insurance|nino|ssn|nie|dni|nif|tin|ausweis\w*|matrikel\w*|steuer\w*|reisepass\w*|"
+    r"passeport|étudiant|identité|fiscal\w*|pasaporte|matrícula|паспорт\w*|инн|снилс|студенч\w*)\b[\s.:-]*(?:card|id|identity|number|no|nr|num|numéro|número|номер|#|№|билет\w*)?\s*(?:number|no|nr|is|:)?[\s.:#]*|"
+    r"学号[：:]?\s*|身份证号?[：:]?\s*|护照号?[：:]?\s*)$",
     re.I,
 )
 
@@ -94,84 +86,103 @@ ADDRESS = re.compile(
     rf"|(?:ul|al|pl|os)\.[ ](?:{_PART})(?:[ ](?:{_PART}))*[ ]\d{{1,5}}[a-z]?(?:/\d{{1,4}})?{_BREAK}(?P<c5>{_CODE})[ ](?P<t5>{_TOWN})"
     rf")"
 )
-ADDRESS_BEFORE = re.compile(r"(?:\b(?:address|office|lives at|ship to|meet at|proofs to|anschrift|adresse|dirección|indirizzo|адрес|postal|visit)\b[^\n]{0,24}|地址[：:]\s*)$", re.I)
-
 _TICKS = re.compile(r"```.*?```|`[^`\n]*`", re.S)
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|\n|[^\w\s]")
+_ANY_WORD = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*")
+
+
+def bare(text: str) -> str:
+    """The text with code quotations blanked; of the same length, so positions hold."""
+    return _TICKS.sub(lambda m: "`" + "\x00" * (len(m.group(0)) - 2) + "`" if len(m.group(0)) > 2 else m.group(0), text)
+
+
+def words(text: str) -> list[str]:
+    """All words of a bare text, lower case."""
+    return _ANY_WORD.findall(text.lower())
 
 
 def _shape(s: str) -> str:
     return re.sub(r"\d", "9", re.sub(r"[A-Za-z]", "A", s))
 
 
-def _before(text: str, at: int) -> list[str]:
-    words = re.findall(r"[^\W\d_]+|[—–(<：:]", text[max(0, at - 40) : at])
-    return ["<" + w.lower() for w in words[-1:]] + ["<" + " ".join(words[-2:]).lower()] if words else ["<^"]
+def _contexts(text: str, start: int, end: int) -> list[str]:
+    left = _TOKEN.findall(text[max(0, start - 30) : start].lower())[-2:] or ["^"]
+    right = _TOKEN.findall(text[end : end + 30].lower())[:2] or ["$"]
+    return [left[-1], " ".join(left), right[0], " ".join(right)]
+
 
+def _names(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, parts) of every reading of neighbouring capitalised words as a name; readings overlap."""
+    found = list(_CAPITAL.finditer(text))
+    part = [None if m.group("initial") else m.group(0).lower() for m in found]
+    n = len(found)
 
-def _after(text: str, at: int) -> list[str]:
-    words = re.findall(r"[^\W\d_]+|[—–)<`,.]", text[at : at + 40])
-    return [">" + w.lower() for w in words[:1]] + [">" + " ".join(words[:2]).lower()] if words else [">$"]
+    def near(i: int) -> bool:
+        return i + 1 < n and found[i + 1].start() - found[i].end() < 12 and _GAP.fullmatch(text, found[i].end(), found[i + 1].start()) is not None
+
+    for i in range(n):
+        start, first = found[i].start(), part[i]
+        if near(i):
+            if part[i + 1] is not None:
+                yield start, found[i + 1].end(), [p for p in (first, part[i + 1]) if p]
+            if near(i + 1) and part[i + 2] is not None and (first is not None or part[i + 1] is None):
+                # a second given name, in full or as an initial
+                yield start, found[i + 2].end(), [p for p in part[i : i + 3] if p]
+        if first is not None and i + 1 < n and text[found[i].end() : found[i + 1].start()] in (", ", ",\u00a0", ",\u202f"):
+            yield start, found[i + 1].end(), [p for p in (first, part[i + 1]) if p]
+            if part[i + 1] is not None and near(i + 1) and part[i + 2] is None:
+                yield start, found[i + 2].end(), [first, part[i + 1]]
 
 
 def candidates(text: str) -> list[Candidate]:
-    """All candidates of a text, in no particular order; they may overlap."""
+    """All candidates of a bare text, in no particular order; they may overlap."""
     out: list[Candidate] = []
-    # same length, so positions hold
-    bare = _TICKS.sub(lambda m: "`" + "\x00" * (len(m.group(0)) - 2) + "`" if len(m.group(0)) > 2 else m.group(0), text)
-    if "@" in bare or re.search(r"\b[Aa][Tt]\b", bare):
-        for m in EMAIL.finditer(bare):
-            out.append(Candidate("email", m.start(), m.end(), "email", [], []))
+    if "@" in text or re.search(r"\b[Aa][Tt]\b", text):
+        at = 0
+        while m := EMAIL.search(text, at):
+            s = m.group(0)
+            # the host of a written-out reading may begin another
+            blank = s.find(" ")
+            at = m.end() if blank < 0 else m.start() + blank + 1
+            written = "@" not in s and not re.search(r"[(\[{<]", s)
+            host = re.split(r"@|[ ]?[(\[{<]at[)\]}>][ ]?|[ ]at[ ]", s.lower(), maxsplit=1)[1]
+            host = re.sub(r"[ ]?[(\[{]dot[)\]}][ ]?|[ ]dot[ ]", ".", host)
+            out.append(Candidate("email", m.start(), m.end(), "" if written else "email", [host, "." + host.rsplit(".", 1)[-1]], _contexts(text, m.start(), m.end())))
     taken = bytearray(len(text))
     for c in out:
-        taken[c.start : c.end] = b"\x01" * (c.end - c.start)
-    for m in ADDRESS.finditer(bare):
-        town = next(t for t in ("t1", "t2", "t3", "t4", "t5") if m.group(t))
-        words = re.split(_SP, m.group(town))
-        coded = town == "t1" and m.group("c1")
-        seed = "address" if ADDRESS_BEFORE.search(bare[max(0, m.start() - 48) : m.start()]) else ""
-        end = m.end()
+        if c.seed:
+            taken[c.start : c.end] = b"\x01" * (c.end - c.start)
+    for m in ADDRESS.finditer(text):
+        form = next(t for t in ("1", "2", "3", "4", "5") if m.group("t" + t))
+        town = re.split(_SP, m.group("t" + form))
+        coded, end = m.group("c" + form) is not None, m.end()
+        behind = form == "1" and coded
         # a second capitalised word may be the town's or open the next sentence: the corpus decides
-        closed = "coded" if coded else "sure" if re.match(r"[.,;)\n]|[ \u00a0]?。|\s*$", bare[end : end + 3]) or len(words) == 1 else "open"
-        short = end - len(words[-1]) - 1 if len(words) == 2 and not coded else end
-        out.append(Candidate("address", m.start(), end, seed, [*words, closed, str(short)], _before(bare, m.start())))
+        closed = "coded" if behind else "sure" if re.match(r"[.,;)\n]|[ \u00a0]?。|\s*$", text[end : end + 3]) or len(town) == 1 else "open"
+        short = end - len(town[-1]) - 1 if len(town) == 2 and not behind else end
+        second = town[1].lower() if len(town) == 2 else None
+        out.append(Candidate("address", m.start(), end, "address" if coded else "", [town[0].lower(), "form " + form], _contexts(text, m.start(), end), closed, second, short))
         taken[m.start() : end] = b"\x01" * (end - m.start())
-    for m in _NUMBER.finditer(bare):
+    for m in _NUMBER.finditer(text):
         s = m.group(0)
         digits = sum(c.isdigit() for c in s)
         if digits < (6 if s[0].isalpha() else 7) or taken[m.start()]:
             continue
         if re.match(r"\d{4}-\d{2}-\d{2}", s) or re.fullmatch(r"\d+-\d+", s) and digits < 9:
             continue
-        left = bare[max(0, m.start() - 48) : m.start()]
+        left = text[max(0, m.start() - 48) : m.start()]
         seed = "id_number" if ID_BEFORE.search(left) else "phone" if PHONE_BEFORE.search(left) or s[0] == "+" else ""
-        out.append(Candidate("number", m.start(), m.end(), seed, [_shape(s)], _before(bare, m.start())))
-    at = 0
-    while m := _NAME.search(bare, at):
-        at = m.end()
-        first, last = (m.group("first"), m.group("last")) if m.group("last") else (m.group("first2"), m.group("last2"))
-        parts = [p for p in (first, last) if not p.endswith(".")]
-        head = re.split(r"[\s\u00a0]", m.group(0))[0]
-        head = head if head.endswith(".") and len(head) == 2 else head.rstrip(".,")
-        if m.group("first") and first.endswith(".") and not NAME_BEFORE.search(bare[max(0, m.start() - 24) : m.start()]):
-            more = _MORE.match(bare, m.end())
-            if m.group("middle") or more and more.group(1) not in NOT_NAMES:
-                # the initial ends the sentence before
-                at = m.start() + len(first)
-                continue
-        if head in NOT_NAMES:
-            at = m.start() + len(head)
-            continue
-        if any(p in NOT_NAMES for p in parts) or any(taken[m.start() : m.end()]):
-            at = m.start() + len(head)
-            continue
-        before, after = bare[max(0, m.start() - 24) : m.start()], bare[m.end() : m.end() + 100]
-        seed = "name" if NAME_BEFORE.search(before) or NAME_AFTER.search(after) else ""
-        if not seed:
-            # the next word may begin another reading; the corpus decides between them
-            at = m.start() + len(head)
-        out.append(Candidate("name", m.start(), m.end(), seed, [p.lower() for p in parts], _before(bare, m.start()) + _after(bare, m.end())))
-    stated = bytearray(len(text))
-    for c in out:
-        if c.kind == "name" and c.seed:
-            stated[c.start : c.end] = b"\x01" * (c.end - c.start)
-    return [c for c in out if c.kind != "name" or c.seed or not any(stated[c.start : c.end])]
+        out.append(Candidate("number", m.start(), m.end(), seed, [_shape(s)], _contexts(text, m.start(), m.end())))
+    readings = [r for r in _names(text) if not any(taken[r[0] : r[1]])]
+    # a title or mailbox states the shortest reading beside it; the corpus decides on longer ones
+    opens: dict[int, int] = {}
+    closes: dict[int, int] = {}
+    for start, end, _ in readings:
+        opens[start] = min(end, opens.get(start, end))
+        closes[end] = max(start, closes.get(end, start))
+    titled = {s for s in opens if TITLE.search(text[max(0, s - 24) : s])}
+    boxed = {e for e in closes if _MAILBOX.match(text, e)}
+    for start, end, parts in readings:
+        stated = start in titled and opens[start] == end or end in boxed and closes[end] == start
+        out.append(Candidate("name", start, end, "name" if stated else "", parts, _contexts(text, start, end)))
+    return out
