@@ -1,9 +1,9 @@
 """Splits that keep related records together.
 
 ``components`` labels the connected parts of a graph by hooking and pointer
-jumping. ``update_table`` keeps a component table from batch to batch:
-components that have a split keep it, a batch that would merge components of
-different splits is quarantined there, and ``fill_deficits`` gives the new ones
+jumping. ``update_table`` keeps a component table from batch to batch, ``save_table`` and ``load_table``
+keep it in a named folder from run to run: components that have a split keep it, a batch that would merge components of
+different splits is quarantined until ``settle``, and ``fill_deficits`` gives the new ones
 to the splits that lack most. ``torn`` finds the components whose records carry
 more than one recorded split.
 
@@ -21,7 +21,7 @@ by its least key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tacticmill.session import cut
@@ -63,28 +63,89 @@ def key_edges(links: DataFrame) -> DataFrame:
     return links.select(keys.alias("keys")).where("size(keys) > 0").distinct().select(F.col("keys")[0].alias("a"), F.explode("keys").alias("b")).distinct()
 
 
+TABLE = ["node", "component", "split", "status", "conflict"]
+
+
 def update_table(table: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The component table after a batch: (node, component, split, status).
+    """The component table after a batch: (node, component, split, status, conflict).
 
-    table: (node, component, split) of earlier batches, or None. status is
-    ``kept`` (has a split from before), ``new`` (no split yet) or
-    ``quarantined`` (the batch links components of different splits: its nodes keep
-    what they had, nodes first seen in it get none until the conflict is settled).
+    table: the table of earlier batches, or None. status is ``kept`` (has a split from before), ``new`` (no split
+    yet) or ``quarantined``: links join components of different splits. Then conflict names the
+    group of components concerned, its components keep their names and splits, nodes first
+    seen in it are components of their own without a split, and all of it stays so in later batches until ``settle``.
+
+    Only the components that the batch or a conflict it touches names enter the iteration; the
+    table itself is joined twice, on node and on component.
     """
     edges = key_edges(links)
     if table is None:
-        return components(edges).select("node", "component", F.lit(None).cast("string").alias("split"), F.lit("new").alias("status"))
-    old = table.select("node", F.col("component").alias("before"), "split")
-    merged = components(edges.union(old.select(F.col("before").alias("a"), F.col("node").alias("b"))))
-    known = merged.join(old, "node", "left")
-    splits = known.groupBy("component").agg(F.min("split").alias("least"), F.max("split").alias("most"))
-    conflict = F.col("least") != F.col("most")
-    return known.join(splits, "component").select(
+        return components(edges).select("node", "component", F.lit(None).cast("string").alias("split"), F.lit("new").alias("status"), F.lit(None).cast("string").alias("conflict"))
+    if "conflict" not in table.columns:
+        table = table.withColumn("conflict", F.lit(None).cast("string"))
+    keys = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    seen = cut(keys.join(table, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "conflict", F.col("component").isNull().alias("fresh")), "cc-seen")
+    a, b = (seen.select(F.col("node").alias(k), F.col("part").alias(f"part_{k}")) for k in "ab")
+    between = edges.join(a, "a").join(b, "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+    hit = seen.where("conflict is not null").select("conflict").distinct()
+    open_conflicts = table.join(hit, "conflict", "left_semi").select(F.col("component").alias("a"), F.col("conflict").alias("b"))
+    merged = components(between.union(open_conflicts)).select(F.col("node").alias("part"), F.col("component").alias("root"))
+    before = table.join(merged.select(F.col("part").alias("component")), "component", "left_semi").groupBy(F.col("component").alias("part")).agg(F.max("split").alias("own"))
+    known = cut(merged.join(before, "part", "left"), "cc-merged")
+    roots = known.groupBy("root").agg(F.min("own").alias("least"), F.max("own").alias("most"), F.countDistinct("own").alias("splits"))
+    conflict = F.col("splits") > 1
+    now = known.join(roots, "root").select(
+        "part",
+        F.when(conflict, F.col("part")).otherwise(F.col("root")).alias("new_component"),
+        F.when(conflict, F.col("own")).otherwise(F.col("least")).alias("new_split"),
+        F.when(conflict, F.lit("quarantined")).when(F.col("least").isNotNull(), F.lit("kept")).otherwise(F.lit("new")).alias("new_status"),
+        F.when(conflict, F.col("root")).alias("new_conflict"),
+    )
+    now = cut(now, "cc-now")
+    touched = F.col("new_component").isNotNull()
+    calm = F.when(F.col("conflict").isNotNull(), F.lit("quarantined")).when(F.col("split").isNotNull(), F.lit("kept")).otherwise(F.lit("new"))
+    old = table.join(now.withColumnRenamed("part", "component"), "component", "left").select(
         "node",
-        F.when(conflict, F.coalesce("before", "component")).otherwise(F.col("component")).alias("component"),
-        F.when(conflict, F.col("split")).otherwise(F.col("least")).alias("split"),
-        F.when(conflict, F.lit("quarantined")).when(F.col("least").isNotNull(), F.lit("kept")).otherwise(F.lit("new")).alias("status"),
+        F.coalesce("new_component", "component").alias("component"),
+        F.when(touched, F.col("new_split")).otherwise(F.col("split")).alias("split"),
+        F.coalesce("new_status", calm).alias("status"),
+        F.when(touched, F.col("new_conflict")).otherwise(F.col("conflict")).alias("conflict"),
     )
+    added = seen.where("fresh").join(now, "part").select("node", F.col("new_component").alias("component"), F.col("new_split").alias("split"), F.col("new_status").alias("status"), F.col("new_conflict").alias("conflict"))
+    return old.union(added)
+
+
+def settle(table: DataFrame, decisions: DataFrame) -> DataFrame:
+    """table after decisions (conflict, split): the components of a settled conflict become one, in the split decided."""
+    chosen = decisions.where("conflict is not null and split is not null").groupBy("conflict").agg(F.min("split").alias("decided"))
+    both = table.join(chosen, "conflict", "left")
+    done = F.col("decided").isNotNull()
+    return both.select(
+        "node", F.when(done, F.col("conflict")).otherwise(F.col("component")).alias("component"), F.coalesce("decided", "split").alias("split"),
+        F.when(done, F.lit("kept")).otherwise(F.col("status")).alias("status"), F.when(~done, F.col("conflict")).alias("conflict"),
+    )
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+
+
+def load_table(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The last complete version of the component table in a folder, or None."""
+    versions = _versions(spark, folder)
+    return spark.read.parquet(f"{folder}/v{versions[-1]}").select(*TABLE) if versions else None
+
+
+def save_table(table: DataFrame, folder: str) -> DataFrame:
+    """Writes table as the next version in a folder; a version that was not finished does not count."""
+    spark = table.sparkSession
+    version = (_versions(spark, folder) or [0])[-1] + 1
+    table.select(*TABLE).write.mode("overwrite").parquet(f"{folder}/v{version}")
+    return load_table(spark, folder)
 
 
 def fill_deficits(table: DataFrame, sizes: DataFrame, ratios: DataFrame) -> DataFrame:
@@ -121,7 +182,7 @@ def fill_deficits(table: DataFrame, sizes: DataFrame, ratios: DataFrame) -> Data
     b = spark.createDataFrame(by_bucket, "bucket int, bucket_split string")
     drawn = new.withColumn("bucket", bucket).join(F.broadcast(g), "component", "left").join(F.broadcast(b), "bucket", "left")
     drawn = drawn.select("component", F.coalesce("giant_split", "bucket_split").alias("drawn"))
-    return table.join(drawn, "component", "left").select("node", "component", F.coalesce("split", "drawn").alias("split"), "status")
+    return table.join(drawn, "component", "left").select("node", "component", F.coalesce("split", "drawn").alias("split"), "status", "conflict")
 
 
 def torn(table: DataFrame, recorded: DataFrame) -> DataFrame:

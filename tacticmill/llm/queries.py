@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tacticmill.llm.components import fill_deficits, theorem_key, torn, update_table
+from tacticmill.llm.components import fill_deficits, load_table, save_table, theorem_key, torn, update_table
 from tacticmill.llm.disclosure import personal_items, sanitised
 from tacticmill.llm.encoding import encode_corpus, vocabulary_path
 from tacticmill.llm.mixing import mixture
@@ -15,7 +15,7 @@ from tacticmill.llm.near import near_groups, near_pairs
 from tacticmill.llm.overlap import overlap_pairs, overlap_report
 from tacticmill.llm.pairs import pair_defects
 from tacticmill.llm.residue import residue_cases, scan_texts
-from tacticmill.session import cut
+from tacticmill.session import cut, shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,14 +85,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A split for every record: chains as the first batch of the component table, reflections as the second."""
     rows, ratios = _theorem_rows(spark, sf_dir), _table(spark, sf_dir, "split_targets")
-    table = None
+    # a folder of this run; a pipeline names one and goes on from what it holds
+    folder = shared_path(spark, "p5-components")
     for batch in ("cos_records", "reflection_records"):
         part = rows.where(F.col("table_name") == batch)
-        table = cut(update_table(table, _links(part)), "p5-table")
+        table = cut(update_table(load_table(spark, folder), _links(part)), "p5-table")
         seen = rows if batch == "reflection_records" else part
         records = seen.select("table_name", "row_id", F.col("spelling").alias("node")).distinct()
         sizes = records.join(table, "node").groupBy("component").agg(F.count("*").alias("records"))
-        table = cut(fill_deficits(table, sizes, ratios), "p5-filled")
+        table = save_table(fill_deficits(table, sizes, ratios), folder)
     out = rows.select("table_name", "row_id", F.col("spelling").alias("node")).distinct().join(table, "node")
     return out.select("table_name", "row_id", F.col("component").alias("theorem"), F.col("split").alias("assigned"), "status")
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tacticmill.llm.components import components, fill_deficits, theorem_key, torn, update_table
+from tacticmill.llm.components import components, fill_deficits, load_table, save_table, settle, theorem_key, torn, update_table
 
 
 def union_find(edges):
@@ -58,6 +58,34 @@ def test_increments_keep_splits_and_quarantine_conflicts(spark):
     assert {r["node"]: r["split"] for r in update_table(table, _links(spark, [])).collect()} == {r["node"]: r["split"] for r in table.collect()}
 
 
+def test_a_conflict_stays_until_it_is_settled(spark, tmp_path):
+    folder = str(tmp_path / "table")
+    assert load_table(spark, folder) is None
+    first = update_table(None, _links(spark, [("r1", ["a"]), ("r2", ["b"]), ("r3", ["x", "y"])]))
+    given = {"a": "train", "b": "test", "x": "val"}
+    save_table(first.withColumn("split", F.create_map(*[F.lit(v) for kv in given.items() for v in kv])[F.col("component")]), folder)
+    ratios = spark.createDataFrame([("train", 0.8), ("val", 0.1), ("test", 0.1)], "split string, ratio double")
+    sizes = spark.createDataFrame([(n, 1) for n in "abcdxyz"], "component string, records long")
+    for batch in ([("r4", ["a", "b", "c"])], [("r5", ["z"])], [("r6", ["c", "d"])]):
+        table = save_table(fill_deficits(update_table(load_table(spark, folder), _links(spark, batch)), sizes, ratios), folder)
+        rows = {r["node"]: r for r in table.collect()}
+        assert [(rows[n]["component"], rows[n]["split"], rows[n]["status"], rows[n]["conflict"]) for n in "abc"] == [("a", "train", "quarantined", "a"), ("b", "test", "quarantined", "a"), ("c", None, "quarantined", "a")]
+        assert rows["x"]["split"] == rows["y"]["split"] == "val" and rows["y"]["component"] == "x"
+    assert (rows["d"]["split"], rows["d"]["status"]) == (None, "quarantined") and rows["z"]["split"] is not None and rows["z"]["status"] in ("new", "kept")
+    done = settle(table, spark.createDataFrame([("a", "test"), (None, "val")], "conflict string, split string"))
+    rows = {r["node"]: r for r in update_table(done, _links(spark, [("r7", ["d", "e"])])).collect()}
+    assert {(rows[n]["component"], rows[n]["split"], rows[n]["status"], rows[n]["conflict"]) for n in "abcde"} == {("a", "test", "kept", None)}
+
+
+def test_an_unfinished_version_does_not_count(spark, tmp_path):
+    folder = tmp_path / "table"
+    table = save_table(update_table(None, _links(spark, [("r1", ["a"])])), str(folder))
+    (folder / "v2").mkdir()
+    assert [r["node"] for r in load_table(spark, str(folder)).collect()] == ["a"] and table.columns == ["node", "component", "split", "status", "conflict"]
+    save_table(update_table(table, _links(spark, [("r2", ["b"])])), str(folder))
+    assert {r["node"] for r in load_table(spark, str(folder)).collect()} == {"a", "b"}
+
+
 def test_shares_are_reached_and_giants_fit(spark):
     nodes = [f"t{i}" for i in range(2000)]
     table = update_table(None, _links(spark, [(n, [n]) for n in nodes]))
