@@ -4,14 +4,14 @@
 residue, wholly or in part.
 
 Method. Labelled exemplars of residue are kept in an inverted index from token
-to exemplar. A text is cut into passage windows (its lines; long lines into
-overlapping runs of tokens). A window retrieves the exemplars that share a
-token with it, and each is scored by TF-IDF containment, the idf mass of the
+to exemplar; every shape of template markup (``{{name}}``, ``${name}``,
+``<% %>``, ``[state_3]`` ...) is one token and an exemplar of its own, filler is indexed by the first letters of its words. A line retrieves the exemplars
+that share a token with it. Each is scored against windows of the line's tokens as wide as the exemplar,
+slid over the whole line, by TF-IDF containment, the idf mass of the
 exemplar found in the window, and by coverage, the idf mass of the window that
-the exemplar explains. Markup of unfilled templates (``{{name}}``, ``${name}``,
-``<% %>``, ``[state_3]`` ...) becomes one token for each shape, outside string literals.
+the exemplar explains; signs and names that every state holds weigh nearly nothing, rare ones next to a shape speak against it.
 A field is a case if one of its windows is covered. Document frequencies are
-those of all windows of all texts handed over.
+those of all lines of all texts handed over.
 
 One pass over the texts writes the few windows that retrieve anything and the
 partial counts of all tokens. The counts are summed in a distributed aggregate
@@ -30,6 +30,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,8 +39,8 @@ from pyspark.sql import types as T
 
 from tacticmill.session import cut
 
-WINDOW, STRIDE = 24, 12
-CONTAINMENT, COVERAGE, COVERED = 0.7, 0.4, 0.8
+CONTAINMENT, COVERAGE = 0.7, 0.6  # of an exemplar in a window, of the window by the exemplar
+FILLED = 0.7  # of a line by one or two words, of a window by filler
 
 # Shapes of unfilled templates and of markup, by token.
 MARKUP = {
@@ -60,52 +61,71 @@ MARKUP = {
     "<tag>": r"<!DOCTYPE[^<>\n]*>|<!--.*?-->|</?(?:html|head|body|title|h\d|hr|p|b|i|br|div|span|script|noscript|meta|a|ul|li|table|tr|td)\b[^<>⟨⟩∀∃⊢\n]*>",
     "<json_error>": r"\{\s*\"(?:error|errors|status|message|detail)\"\s*:",
     "<traceback>": r"Traceback \(most recent call last\)|^\s*File \"[^\"\n]*\", line \d+|^[A-Z]\w*(?:Error|Exception): ",
+    "<n_a>": r"(?<![\w/])[nN]/[aA](?![\w/])",
     "<run>": r"(?<!\w)([xX*#?])\1{5,}(?!\w)",
     "<repeated>": r"(?i)\b(asdf|qwerty|blah|foo|placeholder|lorem|text|dummy|test|todo)(?:\s+\1\b)+",
 }
 
-# Labelled exemplars of residue. Names and numbers in them are ignored.
+# Labelled exemplars of residue, as pages and forms at large word them. "_" stands for any word,
+# "<http>" for a status code; every shape of MARKUP is an exemplar of its own.
 EXEMPLARS = [
-    ("notice", "please enable scripts to load the remaining goals"),
-    ("notice", "please allow scripts and reload the page"),
-    ("notice", "you need to enable javascript to see this goal view"),
+    ("notice", "please enable javascript"),
+    ("notice", "need to enable javascript"),
+    ("notice", "javascript is disabled"),
+    ("notice", "javascript must be enabled"),
     ("notice", "javascript required"),
-    ("notice", "javascript is disabled in your browser"),
-    ("notice", "javascript must be enabled to view this page"),
-    ("notice", "this viewer works only with scripts turned on"),
-    ("notice", "scripting is off switch it on to render the infoview"),
-    ("notice", "cookies and scripts are blocked the state panel can t load"),
-    ("notice", "please turn on cookies and scripts to continue"),
-    ("loading", "goal view is loading please wait"),
-    ("loading", "loading …"),
-    ("loading", "please wait while the state is loading"),
-    ("loading", "checking that your connection is safe before opening ray"),
-    ("loading", "checking your browser before you can continue"),
-    ("error", "internal server error at worker nothing to display"),
+    ("notice", "requires javascript to be enabled"),
+    ("notice", "please enable scripts"),
+    ("notice", "please allow scripts"),
+    ("notice", "with scripts turned on"),
+    ("notice", "with scripts enabled"),
+    ("notice", "scripting is off"),
+    ("notice", "scripting is disabled"),
+    ("notice", "scripts are blocked"),
+    ("notice", "cookies are blocked"),
+    ("notice", "please enable cookies"),
+    ("loading", "loading please wait"),
+    ("loading", "please wait while _ loading"),
+    ("loading", "loading _ …"),
+    ("loading", "checking your browser before"),
+    ("loading", "checking your connection"),
+    ("loading", "connection is secure before"),
+    ("error", "internal server error"),
     ("error", "service unavailable"),
-    ("error", "the goal server is down for upkeep ref"),
+    ("error", "<http> service unavailable"),
     ("error", "bad gateway"),
+    ("error", "<http> bad gateway"),
     ("error", "gateway timeout"),
-    ("error", "error no goal page under states"),
-    ("error", "error page not found"),
-    ("error", "not found"),
-    ("error", "access denied your session has expired log in again"),
-    ("error", "please log in to view this page"),
-    ("error", "too many requests retry in seconds"),
-    ("error", "request timed out after s trace id"),
-    ("error", "connection reset by peer job"),
-    ("error", "connection refused by the server"),
-    ("error", "page not available in your region"),
-    ("error", "error code detail quota for used up"),
-    ("error", "oops something went wrong on our side"),
-    ("error", "warning undefined variable on line"),
-    ("error", "an unexpected error occurred please try again later"),
-    ("template", "generated from template replace name"),
-    ("template", "todo fill in later"),
+    ("error", "page not found"),
+    ("error", "<http> not found"),
+    ("error", "error <http> _ _ page"),
+    ("error", "access denied"),
+    ("error", "session _ has expired"),
+    ("error", "please log in again"),
+    ("error", "too many requests"),
+    ("error", "rate limit exceeded"),
+    ("error", "request timed out"),
+    ("error", "connection timed out"),
+    ("error", "connection reset by peer"),
+    ("error", "connection refused"),
+    ("error", "the server is down"),
+    ("error", "down for maintenance"),
+    ("error", "not available in your region"),
+    ("error", "not available in your country"),
+    ("error", "quota exceeded for"),
+    ("error", "<json_error> code <http>"),
+    ("error", "something went wrong"),
+    ("error", "an unexpected error occurred"),
+    ("error", "nothing to display"),
+    ("error", "warning undefined variable"),
+    ("template", "generated from template"),
+    ("template", "todo fill in"),
     ("template", "to be written"),
     ("template", "to be filled in"),
-    ("template", "your state goes here"),
-    ("template", "insert proof state here"),
+    ("template", "to be done"),
+    ("template", "your _ goes here"),
+    ("template", "insert _ here"),
+    ("template", "replace with your"),
     ("template", "tbd"),
     ("template", "todo"),
     ("template", "placeholder"),
@@ -113,95 +133,142 @@ EXEMPLARS = [
     ("filler", "nan"),
     ("filler", "null"),
     ("filler", "none"),
-    ("filler", "n a"),
     ("filler", "asdf"),
     ("filler", "blah"),
+    ("filler", "<repeated> _"),
     ("filler", "sample text"),
     ("filler", "dummy text"),
-    ("filler", "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua"),
-    ("filler", "rhonus elit vestra dolvit lorvem sontum vorem siten turpe ipsal amere nullis quandem fauces magnor porta"),
 ]
 
+# Fixed value: the usual filler passage and frequent words of its generators. Filler varies in its endings, so it is indexed by the first letters of its words.
+FILLER = """lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud
+    exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint
+    occaecat cupidatat proident sunt culpa officia deserunt mollit anim est laborum vestibulum ante primis faucibus orci luctus turpis egestas porta rhoncus quam
+    sapien viverra""".split()
+
 _SHAPES = [(token, re.compile(pattern, re.I if token in ("<here>", "<state_slot>", "<tbd_slot>", "<tag>", "<json_error>") else 0)) for token, pattern in MARKUP.items()]
-_HINT = re.compile(r"\{\{|\$|<%|\[\[|@@|__[A-Z]|%[A-Z(]|\{\w+\}|<[A-Za-z!/]|\[|#[A-Z]|placeholder|\{\s*\"|File \"|Traceback|Error: |Exception: |xxxxxx|XXXXXX|\*{6}|#{6}|\?{6}|(?i:asdf|qwerty|blah|foo|lorem|text|dummy|test|todo)")
+_HINT = re.compile(r"\{\{|\$|<%|\[\[|@@|__[A-Z]|%[A-Z(]|\{\w+\}|<[A-Za-z!/]|\[|#[A-Z]|[nN]/[aA]|placeholder|\{\s*\"|File \"|Traceback|Error: |Exception: |xxxxxx|XXXXXX|\*{6}|#{6}|\?{6}|(?i:asdf|qwerty|blah|foo|lorem|text|dummy|test|todo)")
 _STRING = re.compile(r"\"[^\"\n]*\"")
-_WORD = re.compile(r"(?<![\w.])[^\W\d_]{2,}(?![\w.]\w)|…|\.\.\.$")
-_SYMBOL = re.compile(r"[:=∈∉⊆≤≥<>≠≈∣∧∨¬→←↔•⟨⟩∀∃+*|]")
+_TOKEN = re.compile(r"[^\W\d]\w*(?:\.[^\W\d]\w*)*|…|\.\.\.$|(?<![\w.])[45]\d\d(?![\w.])|[:=∈∉⊆≤≥<>≠≈∣∧∨¬→←↔•⟨⟩∀∃+*|⊢]")
+_VARIABLE = re.compile(r"\w[\d₀-₉✝'_]+|[^\W\d_][^\W\d_]?[₀-₉✝]+")
+_STATE_SIGNS = frozenset(":=∈∉⊆≤≥<>≠≈∣∧∨¬→←↔•⟨⟩∀∃+*|")
+_STEM = 3  # letters of a filler word that are indexed
+SLACK = 2  # words put into an exemplar that a window may hold
+FILLER_WINDOW = 6
+
+
+class Exemplar(NamedTuple):
+    label: str
+    tokens: frozenset[str]
+    width: int  # words, slots included
+    slots: int  # any words
+    markup: bool
 
 
-def _index() -> tuple[list[frozenset[str]], dict[str, list[int]]]:
-    bank = [frozenset(text.split()) for _, text in EXEMPLARS]
+def _bank() -> tuple[list[Exemplar], dict[str, list[int]]]:
+    bank = [Exemplar("markup", frozenset([shape]), 1, 0, True) for shape in MARKUP]
+    bank += [Exemplar(label, frozenset(text.split()) - {"_"}, len(text.split()), text.split().count("_"), False) for label, text in EXEMPLARS]
     postings: dict[str, list[int]] = defaultdict(list)
     for i, exemplar in enumerate(bank):
-        for token in exemplar:
+        for token in exemplar.tokens:
             postings[token].append(i)
     return bank, dict(postings)
 
 
-BANK, POSTINGS = _index()
+BANK, POSTINGS = _bank()
+STEMS = frozenset(w[:_STEM] for w in FILLER)
 
 
-def markup_tokens(line: str) -> set[str]:
-    """The template and markup shapes in a line; string literals of a statement do not count."""
-    if not _HINT.search(line):
-        return set()
-    bare = line if line.lstrip().startswith(("{", "<", "File", "Traceback")) else _STRING.sub('""', line)
-    return {token for token, shape in _SHAPES if shape.search(bare)}
-
-
-def word_tokens(line: str) -> list[str]:
-    """Words outside identifiers, lower case; capitalised words inside a line are names and drop out."""
-    out = []
-    for i, m in enumerate(_WORD.finditer(line)):
-        w = m.group(0)
-        if w == "...":
-            w = "…"
-        elif i and w[0].isupper() and not w.isupper() and w.lower() not in POSTINGS:
-            continue
-        out.append(w.lower())
-    return out
+def _token(raw: str) -> str:
+    if raw[0].isdigit():
+        return "<http>"
+    if raw == "...":
+        return "…"
+    # a variable stands for all variables, a qualified name for its first part
+    if len(raw) == 1 and raw.isalpha() or _VARIABLE.fullmatch(raw):
+        return "<variable>"
+    return raw.split(".", 1)[0].lower() + "." if "." in raw else raw.lower()
 
 
-def windows(text: str) -> Iterator[str]:
-    """Lines; a line of more than WINDOW tokens is cut into overlapping runs."""
-    for line in text.split("\n"):
-        if line.count(" ") <= 2 * WINDOW:
-            yield line
+def line_tokens(line: str) -> list[str]:
+    """Words, heads of qualified names, signs and shapes of markup of a line, in their order.
+
+    Markup in string literals of a statement does not count.
+    """
+    if not _HINT.search(line):
+        return [_token(t) for t in _TOKEN.findall(line)]
+    rest = line if line.lstrip().startswith(("{", "<", "File", "Traceback")) else _STRING.sub(lambda m: '"' * len(m.group(0)), line)
+    at: list[tuple[int, str]] = []
+    for token, shape in _SHAPES:
+        for m in shape.finditer(rest):
+            if m.end() > m.start():
+                at.append((m.start(), token))
+        rest = shape.sub(lambda m: " " * len(m.group(0)), rest)
+    return [t for _, t in sorted(at + [(m.start(), _token(m.group(0))) for m in _TOKEN.finditer(rest)])]
+
+
+def is_filler(token: str) -> bool:
+    return len(token) > _STEM and token[:_STEM] in STEMS and token.isalpha()
+
+
+def retrieves(tokens: list[str]) -> bool:
+    """True where a line's tokens retrieve an exemplar."""
+    return any(t in POSTINGS for t in tokens) or sum(map(is_filler, tokens)) >= 3
+
+
+def _best(tokens: list[str], exemplar: Exemplar, mass: dict[str, float]) -> tuple[float, float]:
+    """(containment, coverage) of the window that holds most of the exemplar, and of those the one it explains most of."""
+    all_of_it = max(sum(mass.get(t, mass[""]) for t in exemplar.tokens), 1e-9)
+    own = [mass[t] for t in tokens]
+    best = (0.0, 0.0)
+    reach = exemplar.width + SLACK
+    for p, t in enumerate(tokens):
+        if t not in exemplar.tokens:
+            continue
+        if exemplar.markup:
+            # the most favourable window around the shape, of full width unless the line is shorter
+            for start in range(max(0, p - reach + 1), min(p, max(0, len(tokens) - reach)) + 1):
+                part = own[start : start + reach]
+                best = max(best, (1.0, own[p] * sum(x == t for x in tokens[start : start + reach]) / max(sum(part), 1e-9)))
             continue
-        parts = line.split(" ")
-        for i in range(0, max(1, len(parts) - STRIDE), STRIDE):
-            yield " ".join(parts[i : i + WINDOW])
-
-
-def retrieves(window: str) -> tuple[set[str], list[str]]:
-    """Markup and indexed words of a window; both empty if it retrieves no exemplar."""
-    words = word_tokens(window)
-    return markup_tokens(window), words if any(w in POSTINGS for w in words) else []
-
-
-def covered(window: str, idf: dict[str, float], unseen: float) -> bool:
-    """True if an exemplar explains the window."""
-    markup, words = retrieves(window)
-    if markup:
-        return True
-    if not words:
-        return False
-    have = set(words)
-    total = sum(idf.get(w, unseen) for w in have)
-    for i in {i for w in have for i in POSTINGS.get(w, ())}:
+        held: set[str] = set()
+        total = shared = 0.0
+        slots = exemplar.slots
+        for q in range(p, min(len(tokens), p + reach)):
+            if tokens[q] not in exemplar.tokens and slots and tokens[q] not in _STATE_SIGNS:
+                slots -= 1
+                continue
+            total += own[q]
+            if tokens[q] in exemplar.tokens:
+                shared += own[q]
+                held.add(tokens[q])
+                best = max(best, (sum(mass[h] for h in held) / all_of_it, shared / max(total, 1e-9)))
+    return best
+
+
+def covered(tokens: list[str], mass: dict[str, float]) -> bool:
+    """True if an exemplar explains a window of the line. mass gives each token's idf, and under "" that of a token seen nowhere."""
+    have = set(tokens)
+    for i in {i for t in have for i in POSTINGS.get(t, ())}:
         exemplar = BANK[i]
-        shared = have & exemplar
-        if len(exemplar) < 3:
-            if have == exemplar and not _SYMBOL.search(window):
+        if exemplar.width < 3 and not exemplar.markup:
+            # one or two words are the names of something unless they fill the line
+            if have & _STATE_SIGNS:
+                continue
+            others = sorted((mass[t] for t in tokens if t not in exemplar.tokens), reverse=True)[exemplar.slots :]
+            total = sum(others) + sum(mass[t] for t in tokens if t in exemplar.tokens)
+            if exemplar.tokens <= have and sum(mass[t] for t in tokens if t in exemplar.tokens) >= FILLED * total:
                 return True
             continue
-        mass = sum(idf.get(w, unseen) for w in shared)
-        containment = mass / max(sum(idf.get(w, unseen) for w in exemplar), 1e-9)
-        coverage = mass / max(total, 1e-9)
-        if containment >= CONTAINMENT and coverage >= COVERAGE and len(shared) >= 3:
-            return True
-        if coverage >= COVERED and len(shared) >= 3 and len(words) >= 3 and (len(exemplar) > 12 or containment >= 0.5) and not _SYMBOL.search(window):
+        containment, coverage = _best(tokens, exemplar, mass)
+        if containment >= CONTAINMENT and coverage >= COVERAGE:
             return True
+    if sum(map(is_filler, tokens)) >= 3:
+        for start in range(max(1, len(tokens) - FILLER_WINDOW + 1)):
+            part = tokens[start : start + FILLER_WINDOW]
+            told = [mass[t] for t in part if is_filler(t)]
+            if len(part) >= 4 and len(told) >= 3 and sum(told) >= FILLED * sum(mass[t] for t in part):
+                return True
     return False
 
 
@@ -228,14 +295,12 @@ def _scan(fields: list[str]):
                         if not text:
                             continue
                         if text not in known:
-                            hits = []
-                            parts = list(windows(text))
-                            if _HINT.search(text) or any(w in POSTINGS for w in map(str.lower, _WORD.findall(text))):
-                                hits = [w for w in parts if any(retrieves(w))]
-                            known[text] = hits
-                            sizes[text] = Counter({"\n": len(parts)})
-                            for w in parts:
-                                sizes[text].update(set(word_tokens(w)))
+                            lines = text.split("\n")
+                            tokens = [line_tokens(line) for line in lines]
+                            known[text] = [line for line, t in zip(lines, tokens) if t and retrieves(t)]
+                            sizes[text] = Counter({"\n": len(lines)})
+                            for t in tokens:
+                                sizes[text].update(set(t))
                         frequency.update(sizes[text])
                         for window in known[text]:
                             rows.append(("window", row_id, field, window, 1))
@@ -262,20 +327,19 @@ def residue_cases(scans: list[DataFrame]) -> DataFrame:
     # at most one row for each token of the exemplars
     fixed = {r["token"]: r["n"] for r in counts.where(F.col("token").isin("\n", *POSTINGS)).collect()}
     total = fixed.pop("\n", 0)
-    unseen = math.log(total + 1)
 
     def idf_of(tokens: dict[str, int]) -> dict[str, float]:
         return {token: math.log((total + 1) / (n + 1)) for token, n in tokens.items()}
 
-    idf = idf_of(fixed)
+    idf = idf_of(fixed) | {"": math.log(total + 1)}
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def other_words(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted(set(word_tokens(t)) - POSTINGS.keys()))
+        return texts.map(lambda t: sorted(set(line_tokens(t)) - POSTINGS.keys()))
 
     @F.pandas_udf(T.BooleanType())
     def is_residue(texts: pd.Series, tokens: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([covered(t, idf | idf_of(dict(zip(k, v))), unseen) for t, k, v in zip(texts, tokens, n)], dtype=bool)
+        return pd.Series([covered(line_tokens(t), defaultdict(lambda: idf[""], idf | idf_of(dict(zip(k, v))))) for t, k, v in zip(texts, tokens, n)], dtype=bool)
 
     found = scanned.where("kind = 'window'").select("table_name", "row_id", "field", "text")
     # a window without other words keeps its row

@@ -1,9 +1,10 @@
 import math
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from tacticmill.llm.residue import covered, residue_cases, scan_texts, windows
+from tacticmill.llm.residue import covered, line_tokens, residue_cases, scan_texts
 
 STATE = "G : Type u_2\ninst✝ : ValuonField G\np b : G\nhn : ∃ w ∈ Quandor.span d, Spectron.fac w ≠ Quotien.sect 354\n⊢ ∀ z, Orbitar.join z ∣ Filtrum.frame (z + 304)"
 RESIDUE = [
@@ -18,30 +19,61 @@ STATES = [
 ]
 
 
-def _idf(texts):
-    from collections import Counter
-
-    from tacticmill.llm.residue import POSTINGS, word_tokens
-
+def _mass(texts):
     n, df = 0, Counter()
     for t in texts:
-        for w in windows(t or ""):
+        for line in (t or "").split("\n"):
             n += 1
-            df.update(set(word_tokens(w)) & POSTINGS.keys())
-    return {t: math.log((n + 1) / (c + 1)) for t, c in df.items()}, math.log(n + 1)
+            df.update(set(line_tokens(line)))
+    return defaultdict(lambda: math.log(n + 1), {t: math.log((n + 1) / (c + 1)) for t, c in df.items()} | {"": math.log(n + 1)})
+
+
+def _found(text, mass):
+    return any(covered(line_tokens(line), mass) for line in (text or "").split("\n"))
 
 
 @pytest.mark.parametrize("text", RESIDUE)
 def test_residue_is_found_alone_and_inside(text):
-    idf, unseen = _idf([STATE] * 500 + RESIDUE)
-    assert covered(text, idf, unseen)
-    assert any(covered(w, idf, unseen) for w in windows(STATE + "\n" + text))
+    mass = _mass([STATE] * 500 + RESIDUE)
+    assert _found(text, mass) and _found(STATE + "\n" + text, mass)
 
 
 @pytest.mark.parametrize("text", STATES)
 def test_states_are_no_residue(text):
-    idf, unseen = _idf([STATE] * 500 + RESIDUE)
-    assert not any(covered(w, idf, unseen) for w in windows(text or ""))
+    assert not _found(text, _mass([STATE] * 500 + RESIDUE))
+
+
+NOTICE = "Please enable scripts to load the remaining goals."
+OTHERS = "walnut cedar maple orchard river copper lantern garden winter island saddle violin harvest meadow thunder anchor".split()
+
+
+@pytest.mark.parametrize("before, after", [(0, 10), (10, 0), (9, 9), (16, 16), (0, 200), (200, 200)])
+def test_a_notice_inside_a_long_line_is_found(before, after):
+    words = OTHERS * 20
+    line = " ".join([*words[:before], NOTICE, *words[:after]])
+    assert _found(line, _mass([STATE] * 500 + RESIDUE)) and not _found(" ".join(words), _mass([STATE] * 500))
+
+
+HELD_OUT = [
+    "JavaScript is disabled in this browser.", "You must enable scripts: please enable scripts first", "502 Bad Gateway", "Error 403: see the help page", "Connection timed out after 30 s", "Your comment goes here", "Sed nisi lacus quis dolor amet vestibulum.",
+    "{% {{user.name}} %}", "Too many requests from your address", "[todo]", "Page not found", "Session 77 has expired",
+]
+
+
+@pytest.mark.parametrize("text", HELD_OUT)
+def test_residue_in_other_words_is_found(text):
+    assert _found(text, _mass([STATE] * 500 + RESIDUE))
+
+
+def test_frequencies_decide():
+    mass = _mass([STATE] * 500 + RESIDUE)
+    flat = defaultdict(lambda: 1.0)
+    assert [t for t in RESIDUE if _found(t, mass)] == RESIDUE
+    lost = [t for t in RESIDUE if not _found(t, flat)]
+    assert "h : {{type}}" in lost and len(lost) >= 3
+    # where a shape belongs to the texts' own notation it weighs little next to what else stands there
+    own = _mass(["fmt {{x}} orchard"] * 900 + ["fmt {{x}} lantern"])
+    assert not _found("fmt {{x}} lantern", own) and _found("{{x}}", _mass([STATE] * 500))
 
 
 def test_operator(spark):
