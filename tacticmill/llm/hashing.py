@@ -89,3 +89,13 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 def low_bits(sig: np.ndarray, bits: int = 8) -> np.ndarray:
     """b-bit fingerprint of the signature. The top bits of a minimum are nearly all zero, so it is mixed first."""
     return (mix(sig) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+
+
+def segment_keys(code: np.ndarray, width: int) -> np.ndarray:
+    """The segments of `width` bytes (at most 6) of each code as numbers; the segment's number is part of it."""
+    n, m = code.shape
+    segments = m // width
+    acc = np.broadcast_to(np.arange(segments, dtype=np.int64)[None, :], (n, segments)).copy()
+    for r in range(width):
+        acc = (acc << 8) | code[:, r : segments * width : width].astype(np.int64)
+    return acc

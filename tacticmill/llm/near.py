@@ -39,13 +39,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tacticmill.llm.hashing import WordHasher, band_keys, low_bits, minhash, seeds, set_digest, shingles
+from tacticmill.llm.hashing import WordHasher, band_keys, low_bits, minhash, seeds, segment_keys, set_digest, shingles
 from tacticmill.session import cut
 
 CODE = 64  # signature values kept for pruning, 8 bits each
 STEPS = (16, 32, 48, 64)
 SHARE = 64  # hot bands are looked for among one in SHARE classes
 BLOCK = 1024  # classes in one salted block
+MEMBERS = 4096  # members of a class in one block of pairs
 FINGERPRINT = "id long, cls long, side string, keys array<long>, code binary, bits long"
 
 
@@ -53,13 +54,14 @@ def lower_words(text: str) -> list[str]:
     return text.lower().split()
 
 
-def fingerprints(width: int, bands: int, rows: int, min_words: int, words_of: Callable[[str], list[str]] = lower_words, bit_rows: int = 0):
+def fingerprints(width: int, bands: int, rows: int, min_words: int, words_of: Callable[[str], list[str]] = lower_words, code_size: int = CODE, segments: bool = False):
     """A mapInPandas function: (id, side, parts) to FINGERPRINT.
 
     The digest of the set names the record's class. Keys and codes are given
-    with the first record of a class and side in its partition only.
+    with the first record of a class and side in its partition only. The keys are those of
+    bands of whole signature values or, with ``segments``, the segments of the code themselves.
     """
-    perms = seeds(max(bands * rows, CODE), width)
+    perms = seeds(max(bands * rows, code_size), width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, seen = WordHasher(), set()
@@ -91,9 +93,10 @@ def fingerprints(width: int, bands: int, rows: int, min_words: int, words_of: Ca
             for start in range(0, len(sets), 256):
                 part = at[start : start + 256]
                 sig = minhash(sets[start : start + 256], perms)
-                code = low_bits(sig[:, :CODE])
-                packed = np.packbits(code & 1, axis=1).view(np.int64).reshape(-1)
-                for i, k, c, b in zip(part, band_keys(sig[:, : bands * rows], rows), code, packed):
+                code = low_bits(sig[:, :code_size])
+                packed = np.packbits(code[:, :64] & 1, axis=1).view(np.int64).reshape(-1)
+                found = segment_keys(code[:, : bands * rows], rows) if segments else band_keys(sig[:, : bands * rows], rows)
+                for i, k, c, b in zip(part, found, code, packed):
                     keys[i], codes[i], bits[i] = k, c.tobytes(), int(b)
             yield pd.DataFrame({"id": pd.array(ids, dtype="int64"), "cls": pd.array(classes, dtype="int64"), "side": sides, "keys": keys, "code": codes, "bits": pd.array(bits, dtype="Int64")})
 
@@ -241,14 +244,32 @@ def near_classes(
     return links, members
 
 
+def _in_blocks(members: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(members with their block, (cls, blocks) of the classes of more than MEMBERS members)."""
+    large = members.groupBy("cls").count().where(F.col("count") > MEMBERS).select("cls", F.ceil(F.col("count") / MEMBERS).cast("int").alias(f"blocks_{name}"))
+    block = F.when(F.col(f"blocks_{name}").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col(f"blocks_{name}")).cast("int"))
+    return members.join(large, "cls", "left").select(F.col("cls").alias(f"c{name}"), block.alias(f"block_{name}"), F.col("id").alias(f"id_{name}")), large
+
+
+def spread(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(ca, cb, id_a, id_b) of all members of linked classes. links: (ca, cb); left, right: (cls, id).
+
+    A large class is cut into blocks and its links go to the pairs of blocks, so that no task
+    gets all pairs of one class.
+    """
+    a, large_a = _in_blocks(left, "a")
+    b, large_b = _in_blocks(right, "b")
+    cells = links.join(large_a.withColumnRenamed("cls", "ca"), "ca", "left").join(large_b.withColumnRenamed("cls", "cb"), "cb", "left")
+    for name in "ab":
+        cells = cells.withColumn(f"block_{name}", F.explode(F.sequence(F.lit(0), F.coalesce(f"blocks_{name}", F.lit(1)) - 1)))
+    return cells.select("ca", "cb", "block_a", "block_b").join(a, ["ca", "block_a"]).join(b, ["cb", "block_b"]).select("ca", "cb", "id_a", "id_b")
+
+
 def expand(links: DataFrame, members: DataFrame) -> DataFrame:
     """Record pairs (a < b): members of linked classes, and of one class."""
-    left, right = members.select(F.col("cls").alias("ca"), F.col("id").alias("x")), members.select(F.col("cls").alias("cb"), F.col("id").alias("y"))
-    across = links.select("ca", "cb").join(left, "ca").join(right, "cb").select("x", "y")
-    shared = members.groupBy("cls").count().where("count > 1").select(F.col("cls").alias("ca"))
-    within = left.join(shared, "ca", "left_semi").join(right, F.col("ca") == F.col("cb")).where("x < y").select("x", "y")
-    both = across.union(within)
-    return both.select(F.least("x", "y").alias("record_id_a"), F.greatest("x", "y").alias("record_id_b"))
+    shared = members.groupBy("cls").count().where("count > 1").select(F.col("cls").alias("ca"), F.col("cls").alias("cb"))
+    both = spread(links.select("ca", "cb").union(shared), members, members).where("ca <> cb or id_a < id_b")
+    return both.select(F.least("id_a", "id_b").alias("record_id_a"), F.greatest("id_a", "id_b").alias("record_id_b"))
 
 
 def near_pairs(df: DataFrame, key: str, parts: list[str], **options) -> DataFrame:
