@@ -7,7 +7,7 @@ Method. Encoding is reduced over a tree of halves: a text longer than LEAF is
 halved until its parts are short, the parts are encoded, and neighbours are
 joined by encoding anew a window around the seam. The window grows to both
 sides until it ends at places where a token boundary is certain whatever
-stands around them: a letter or digit followed by a blank or line feed. No
+stands around them: the end of a run of letters or of digits, before a blank, a mark or a sign of the other class. No
 piece of the split pattern reaches across such a place, so the tokens outside
 the window are those of the whole text, and the join is associative. Decoding
 concatenates the bytes of the parts up the same tree.
@@ -39,7 +39,10 @@ DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_SURE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿĀ-ſА-яЁё一-龥ぁ-んァ-ヶ가-힣"
+_OTHER = r" \t\n.,;:!?()\[\]{}<>\"'`/\\|@#$%^&*+=~_\-，。、；：！？（）「」『』《》“”‘’…—–"
+#: The end of a run of letters or of digits. The classes are those on which all versions of Unicode agree.
+_SURE = re.compile(f"(?<=[{_LETTER}])(?=[{_OTHER}0-9])|(?<=[0-9])(?=[{_OTHER}{_LETTER}])")
 
 
 class TreeEncoder:

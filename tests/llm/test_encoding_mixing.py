@@ -12,7 +12,7 @@ PATH = os.path.join(os.environ.get("TOKENIZERS", DEFAULT_DIR), DEFAULT_VOCABULAR
 pytestmark = pytest.mark.skipif(not os.path.exists(PATH), reason="no vocabulary files here")
 WHOLE, SMALL = (TreeEncoder(PATH, leaf) for leaf in (1 << 40, 5)) if os.path.exists(PATH) else (None, None)
 
-PARTS = st.sampled_from(["word", " ", "  ", "\n", "\n\n", "'s", "'re", "'", "x'll", "123", "!?", "=" * 9, "⊢ ∀ ε", "中文", "🙂", "\t", " ", "é", "<|endoftext|>", "a b", "\x1c", "\r\n"])
+PARTS = st.sampled_from(["word", " ", "  ", "\n", "\n\n", "'s", "'re", "'", "x'll", "123", "!?", "=" * 9, "⊢ ∀ ε", "中文", "🙂", "\t", " ", "é", "<|endoftext|>", "，", "。", "a1b2", "x_y", "0", "\u2028", "\xa0", "Ж", "한국", "½", "²", "--", "/", "a b", "\x1c", "\r\n"])
 
 
 @settings(max_examples=300, deadline=None)
@@ -37,6 +37,18 @@ def test_long_runs_without_a_certain_boundary():
         assert e.encode(text).tolist() == WHOLE.encode(text).tolist()
 
 
+def test_windows_stay_small_without_blanks():
+    import base64
+    import random
+
+    for text in ("策略在目标上失败，因为并未出现。" * 4000, base64.b64encode(random.Random(1).randbytes(60_000)).decode()):
+        e = TreeEncoder(PATH, 1000)
+        sizes = []
+        plain = e._plain
+        e._plain = lambda part: (sizes.append(len(part)), plain(part))[1]
+        assert e.encode(text).tolist() == WHOLE.encode(text).tolist() and max(sizes) <= 1000 and sum(sizes) < 1.2 * len(text)
+
+
 def test_operator(spark):
     rows = [(1, "a b", "x"), (2, "", "y"), (3, None, None), (1, "a b", "x"), (4, "é" * 50_000, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
