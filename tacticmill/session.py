@@ -53,13 +53,15 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the session's spark.checkpoint.dir.
 
-    Only where that setting is unset and no folder was given to the context
-    (local tests) a temporary one is made.
+    Only where that setting is unset, no folder was given to the context and the master is
+    local (tests) a temporary one is made; executors elsewhere could not read it.
     """
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     wanted = spark.conf.get("spark.checkpoint.dir", None)
     if wanted is None and current.isEmpty():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         wanted = "file://" + tempfile.mkdtemp(prefix="tacticmill-ckpt-")
     if current.isEmpty():
         spark.sparkContext.setCheckpointDir(wanted)
