@@ -24,24 +24,36 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def ancestors(nodes: DataFrame, node: str, parent: str, limit: int = 4096) -> DataFrame:
-    """(node, ancestor, distance) of all proper ancestors, by doubling: 2^i steps after i rounds.
+def _links_up(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """(n, a): node and parent; a node that is its own parent is a root."""
+    return nodes.where(F.col(parent).isNotNull() & (F.col(parent) != F.col(node))).select(F.col(node).alias("n"), F.col(parent).alias("a")).distinct()
 
-    Self-parents and cycles end where they would repeat a node; deeper trees
-    than the recursive SQL default are fine.
+
+def ancestors(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, ancestor, distance) of all proper ancestors, by doubling: 2^i steps after i rounds, until a round adds none.
+
+    The result has a row for each node and ancestor; what needs no such rows uses
+    ``nearest`` or ``backpropagated``. Cycles end where they would repeat a node.
     """
-    up = nodes.where(F.col(parent).isNotNull() & (F.col(parent) != F.col(node))).select(F.col(node).alias("n"), F.col(parent).alias("a"), F.lit(1).alias("d")).distinct()
-    closure = cut(up, "anc")
+    closure = cut(_links_up(nodes, node, parent).withColumn("d", F.lit(1)), "anc")
     span = 1
-    while span < limit:
+    while True:
         more = closure.alias("l").join(closure.alias("r"), F.col("l.a") == F.col("r.n")).where(f"l.d = {span}").select("l.n", "r.a", (F.col("l.d") + F.col("r.d")).alias("d")).where("n <> a")
-        merged = cut(closure.union(more).groupBy("n", "a").agg(F.min("d").alias("d")), "anc")
+        closure = cut(closure.union(more).groupBy("n", "a").agg(F.min("d").alias("d")), "anc")
+        if closure.where(F.col("d") > span).isEmpty():
+            return closure.select(F.col("n").alias(node), F.col("a").alias("ancestor"), F.col("d").alias("distance"))
         span *= 2
-        if merged.where(F.col("d") > span // 2).isEmpty():
-            closure = merged
-            break
-        closure = merged
-    return closure.select(F.col("n").alias(node), F.col("a").alias("ancestor"), F.col("d").alias("distance"))
+
+
+def nearest(nodes: DataFrame, node: str, parent: str, n: int) -> DataFrame:
+    """(node, ancestor, distance) of the n nearest proper ancestors: n joins with the parents, no closure."""
+    up = cut(_links_up(nodes, node, parent), "anc-up")
+    step = up.withColumn("d", F.lit(1))
+    found = step
+    for d in range(2, n + 1):
+        step = step.join(up.select(F.col("n").alias("a"), F.col("a").alias("next")), "a").select("n", F.col("next").alias("a"), F.lit(d).alias("d")).where("n <> a")
+        found = found.union(step)
+    return found.groupBy(F.col("n").alias(node), F.col("a").alias("ancestor")).agg(F.min("d").alias("distance"))
 
 
 def root_path(closure: DataFrame, node: str) -> DataFrame:
@@ -50,11 +62,23 @@ def root_path(closure: DataFrame, node: str) -> DataFrame:
     return g.select(node, F.concat_ws(">", F.array_join("p.x", ">"), F.col(node).cast("string")).alias("path"))
 
 
-def backpropagated(nodes: DataFrame, closure: DataFrame, node: str, reward: str) -> DataFrame:
-    """(node, visits, value): own reward and those of all descendants."""
-    own = nodes.select(F.col(node).alias("k"), F.col(reward).alias("r"))
-    below = closure.join(own, F.col(node) == F.col("k")).select(F.col("ancestor").alias("k"), "r")
-    return own.union(below).groupBy(F.col("k").alias(node)).agg(F.count("*").alias("visits"), F.round(F.sum("r"), 6).alias("value"))
+def backpropagated(nodes: DataFrame, node: str, parent: str, reward: str, max_rounds: int = 64) -> DataFrame:
+    """(node, visits, value): own reward and those of all descendants.
+
+    Pointer doubling: after round i a node knows the sum over its descendants fewer than 2^i levels
+    below and points to the ancestor 2^i levels above, to which it adds its sum. Every round handles
+    each node once, and there are as many rounds as the depth has binary digits. A cycle is an error.
+    """
+    up = F.when(F.col(parent) != F.col(node), F.col(parent))
+    state = cut(nodes.select(F.col(node).alias("k"), up.alias("up"), F.lit(1).cast("long").alias("visits"), F.col(reward).cast("double").alias("value")), "back")
+    for _ in range(max_rounds):
+        below = state.where("up is not null").groupBy(F.col("up").alias("k")).agg(F.sum("visits").alias("more_visits"), F.sum("value").alias("more_value"))
+        over = state.select(F.col("k").alias("up"), F.col("up").alias("next"))
+        both = state.join(below, "k", "left").join(over, "up", "left")
+        state = cut(both.select("k", F.col("next").alias("up"), (F.col("visits") + F.coalesce("more_visits", F.lit(0))).alias("visits"), (F.col("value") + F.coalesce("more_value", F.lit(0.0))).alias("value")), "back")
+        if state.where("up is not null").isEmpty():
+            return state.select(F.col("k").alias(node), "visits", F.round("value", 6).alias("value"))
+    raise RuntimeError("the parents form a cycle")
 
 
 def registry(states: DataFrame, digest: str, order: list[str], keep: list[str]) -> DataFrame:

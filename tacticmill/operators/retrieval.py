@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tacticmill.functions.text import identifiers
-from tacticmill.session import cut
+from tacticmill.session import cut, shared_path
 
-QUERY_BLOCK, VECTOR_BLOCK = 256, 8192
+QUERY_BLOCK, VECTOR_BLOCK = 8192, 8192  # rows of the two sides that one task multiplies
+STRIPE = 256  # queries whose scores are in memory at once
+MAX_CELLS, CELL_SAMPLE = 4096, 39  # cells of an index at most, and vectors sampled for each; both bound what reaches the driver
+FLAT_BELOW = 10_000  # vectors up to which an index is searched whole
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -58,14 +63,15 @@ def _block_topk(qid: str, name: str, k: int):
         ids, names = queries[qid].to_numpy(), vectors[name].to_numpy()
         rows, found, kept = [], [], []
         if len(ids) and len(names):
-            scores = np.round(np.array(queries["v"].tolist(), dtype=np.float64) @ np.array(vectors["v"].tolist(), dtype=np.float64).T, 6)
-            for i, row in enumerate(scores):
-                # all names tied with the k-th stay, so the final order is exact
-                edge = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                at = np.flatnonzero(row >= edge)
-                rows.append(np.full(len(at), i))
-                found.append(at)
-                kept.append(row[at])
+            q, v = np.array(queries["v"].tolist(), dtype=np.float64), np.array(vectors["v"].tolist(), dtype=np.float64).T
+            for start in range(0, len(q), STRIPE):
+                for i, row in enumerate(np.round(q[start : start + STRIPE] @ v, 6), start):
+                    # all names tied with the k-th stay, so the final order is exact
+                    edge = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+                    at = np.flatnonzero(row >= edge)
+                    rows.append(np.full(len(at), i))
+                    found.append(at)
+                    kept.append(row[at])
         if not rows:
             return pd.DataFrame({qid: ids[:0], name: names[:0], "score": np.empty(0)})
         return pd.DataFrame({qid: ids[np.concatenate(rows)], name: names[np.concatenate(found)], "score": np.concatenate(kept)})
@@ -78,7 +84,8 @@ def dense_topk(queries: DataFrame, qid: str, vectors: DataFrame, name: str, vect
 
     Queries and vectors are cut into hash blocks of a bounded expected size;
     each pair of blocks is one matrix product in one task that keeps k of each
-    query, so neither side is broadcast and pairs never become rows.
+    query, so neither side is broadcast and pairs never become rows. A vector is shuffled once for every
+    QUERY_BLOCK queries; for query sets that grow with the vectors take ``search`` on an index.
     """
     kinds = dict(queries.select(qid).dtypes) | dict(vectors.select(name).dtypes)
     q, v = queries.select(qid, F.col(vector).alias("v")), vectors.select(name, F.col(vector).alias("v"))
@@ -127,38 +134,88 @@ def _nearest(cells: np.ndarray, n: int):
     return cell
 
 
-def fit_cells(vectors: DataFrame, vector: str, n_cells: int, sample: int = 20_000, rounds: int = 10, seed: int = 42) -> np.ndarray:
-    """Unit centroids by spherical k-means on a hash-ordered sample of at most ``sample`` vectors (a documented bound)."""
-    rows = vectors.select(F.col(vector).alias("v")).withColumn("h", F.xxhash64(F.col("v"), F.lit(seed))).orderBy("h").limit(sample).collect()
+def fit_cells(vectors: DataFrame, vector: str, n_cells: int, rounds: int = 10, seed: int = 42) -> np.ndarray:
+    """Unit centroids by spherical k-means on a hash-ordered sample of at most CELL_SAMPLE vectors, or 20,000 in all, for each cell."""
+    size = max(20_000, CELL_SAMPLE * n_cells)
+    rows = vectors.select(F.col(vector).alias("v")).withColumn("h", F.xxhash64(F.col("v"), F.lit(seed))).orderBy("h").limit(size).collect()
     x = np.array([r["v"] for r in rows], dtype=np.float64)
     if not len(x):
         return np.zeros((1, 1))
     centres = x[np.linspace(0, len(x) - 1, min(n_cells, len(x))).astype(int)].copy()
     for _ in range(rounds):
         own = np.argmax(x @ centres.T, axis=1)
-        for c in range(len(centres)):
-            if (own == c).any():
-                centres[c] = x[own == c].mean(axis=0)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        held = np.bincount(own, minlength=len(centres)) > 0
+        centres[held] = sums[held]
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     return centres
 
 
-def effective_cells(n_cells: int, n: int) -> int:
-    return min(n_cells, max(1, n // 39))
+def effective_cells(n: int, n_cells: int | None = None) -> int:
+    """Cells for n vectors: 4 sqrt(n) unless given, with CELL_SAMPLE vectors each at least and MAX_CELLS at most."""
+    return max(1, min(n_cells or int(4 * np.sqrt(n)), n // CELL_SAMPLE, MAX_CELLS))
+
+
+class CellIndex(NamedTuple):
+    """Centroids (at most MAX_CELLS rows) and the table (name, v, cell) of all vectors. One cell means: search everything."""
+
+    centres: np.ndarray
+    table: DataFrame
+    name: str
+
+
+def build_index(vectors: DataFrame, name: str, vector: str, folder: str, n_cells: int | None = None, flat_below: int = FLAT_BELOW) -> CellIndex:
+    """Indexes every vector and writes the index to a folder: ``centres`` and ``vectors``, sorted by cell.
+
+    Up to ``flat_below`` vectors there is one cell, so the search is exact.
+    """
+    spark = vectors.sparkSession
+    n = vectors.count()
+    centres = np.zeros((1, 1)) if n <= flat_below else fit_cells(vectors, vector, effective_cells(n, n_cells))
+    cell = F.lit(0) if len(centres) == 1 else _nearest(centres, 1)(F.col(vector))[0]
+    placed = vectors.select(F.col(name), F.col(vector).alias("v"), cell.cast("int").alias("cell"))
+    placed.repartitionByRange("cell", F.xxhash64(name)).sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{folder}/vectors")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+    spark.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/centres")
+    return read_index(spark, folder, name)
 
 
-def build_cell_index(vectors: DataFrame, name: str, vector: str, n_cells: int = 64, label: str = "cells") -> tuple[np.ndarray, DataFrame]:
-    """(centroids, table (name, v, cell)): every vector is indexed, the table is written partitioned by nothing but sorted by cell."""
-    centres = fit_cells(vectors, vector, effective_cells(n_cells, vectors.count()))
-    placed = vectors.select(name, F.col(vector).alias("v"), _nearest(centres, 1)(F.col(vector))[0].alias("cell"))
-    return centres, cut(placed.repartition("cell").sortWithinPartitions("cell"), label)
+def read_index(spark: SparkSession, folder: str, name: str) -> CellIndex:
+    rows = spark.read.parquet(f"{folder}/centres").orderBy("cell").collect()
+    return CellIndex(np.array([r["centre"] for r in rows]), spark.read.parquet(f"{folder}/vectors"), name)
 
 
-def cell_search(queries: DataFrame, qid: str, vector: str, centres: np.ndarray, index: DataFrame, name: str, k: int, probe: int = 8) -> DataFrame:
-    """(qid, name, score, rank): exact scores inside the probed cells; an equi-join on the cell."""
-    q = queries.select(F.col(qid), F.col(vector).alias("qv"), F.explode(_nearest(centres, min(probe, len(centres)))(F.col(vector))).alias("cell"))
-    scored = q.join(index, "cell").select(qid, name, F.round(inner_product(F.col("qv"), F.col("v")), 6).alias("score"))
-    return top_k(scored, qid, [F.desc("score"), name], k)
+def build_cell_index(vectors: DataFrame, name: str, vector: str, n_cells: int | None = None) -> tuple[np.ndarray, DataFrame]:
+    """(centroids, table (name, v, cell)) of an index in cells, written to a fresh shared folder."""
+    index = build_index(vectors, name, vector, shared_path(vectors.sparkSession, "cells"), n_cells, flat_below=0)
+    return index.centres, index.table
+
+
+def search(queries: DataFrame, qid: str, vector: str, index: CellIndex, k: int, probe: int | None = None) -> DataFrame:
+    """(qid, name, score, rank) by an index."""
+    return cell_search(queries, qid, vector, index.centres, index.table, index.name, k, probe)
+
+
+def cell_search(queries: DataFrame, qid: str, vector: str, centres: np.ndarray, index: DataFrame, name: str, k: int, probe: int | None = None) -> DataFrame:
+    """(qid, name, score, rank): exact scores inside the probed cells, 16 of them or an eighth.
+
+    A cell is cut into hash chunks of a bounded expected size; a query goes to the chunks of its
+    cells, and each pair of blocks is one matrix product that keeps k of each query. A vector is
+    shuffled once for every QUERY_BLOCK queries that probe its cell.
+    """
+    kinds = dict(queries.select(qid).dtypes) | dict(index.select(name).dtypes)
+    probe = probe or max(16, len(centres) // 8)
+    probed = F.array(F.lit(0)) if len(centres) == 1 else _nearest(centres, min(probe, len(centres)))(F.col(vector))
+    q = queries.select(F.col(qid), F.col(vector).alias("v"), F.explode(probed).alias("cell"))
+    # one row for each cell
+    sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("chunks")).join(q.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks")), "cell")
+    sizes = F.broadcast(cut(sizes, "cell-sizes"))
+    q = q.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64(qid), F.col("blocks")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    v = index.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64(name), F.col("chunks")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    by = ["cell", "block", "chunk"]
+    partial = q.select(*by, qid, "v").groupBy(*by).cogroup(v.select(*by, name, "v").groupBy(*by)).applyInPandas(_block_topk(qid, name, k), f"{qid} {kinds[qid]}, {name} {kinds[name]}, score double")
+    return top_k(partial, qid, [F.desc("score"), name], k).select(qid, name, "score", "rank")
 
 
 def recall(found: DataFrame, truth: DataFrame, qid: str, name: str) -> DataFrame:

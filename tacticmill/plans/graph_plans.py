@@ -36,13 +36,12 @@ def root_paths(spark, d):
 
 @query(_PATHS + " SELECT node, ancestor, distance FROM up WHERE distance <= 3")
 def nearest_ancestors(spark, d):
-    return G.ancestors(_tree(spark, d), "node", "parent").where("distance <= 3")
+    return G.nearest(_tree(spark, d), "node", "parent", 3)
 
 
 @query(_PATHS + " SELECT k AS node, count(*) AS visits, round(sum(reward), 6) AS value FROM (SELECT node AS k, reward FROM tree UNION ALL SELECT ancestor, t.reward FROM up JOIN tree t USING (node)) GROUP BY k")
 def backpropagation(spark, d):
-    t = _tree(spark, d)
-    return G.backpropagated(t, G.ancestors(t, "node", "parent"), "node", "reward")
+    return G.backpropagated(_tree(spark, d), "node", "parent", "reward")
 
 
 @query(_PATHS + ", p AS (SELECT u.node, string_agg(lpad(CAST(ancestor AS VARCHAR), 12, '0'), '>' ORDER BY distance DESC) || '>' || lpad(CAST(u.node AS VARCHAR), 12, '0') AS path FROM up u GROUP BY 1) SELECT arg_min(node, path) AS node, min(path) AS path FROM p JOIN tree USING (node) WHERE solved")

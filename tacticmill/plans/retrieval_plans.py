@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tacticmill.functions import text as X
 from tacticmill.operators import retrieval as V
 from tacticmill.plans.base import ERR, query, records, table
-from tacticmill.session import cut
+from tacticmill.session import cut, shared_path
 
 _TOKEN = r"[A-Za-z_][\pL\pN_.]*"
 _Q = f"{ERR}, q AS (SELECT error_id AS qid, state_before AS text FROM err WHERE error_id % 100 = 0)"
@@ -90,11 +90,11 @@ def self_recall(spark, d):
 
 @query()
 def cell_index_recall(spark, d):
-    """Recall at 10 of the cell index against brute force."""
+    """Recall at 10 of the cell index, written and read again, against brute force."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("name"), "embedding")
     q = v.where("name % 100 = 0").select(F.col("name").alias("qid"), "embedding")
-    centres, index = V.build_cell_index(v, "name", "embedding")
-    return V.recall(V.cell_search(q, "qid", "embedding", centres, index, "name", 10, probe=16), V.dense_topk(q, "qid", v, "name", "embedding", 10), "qid", "name")
+    index = V.build_index(v, "name", "embedding", shared_path(spark, "cell-index"), flat_below=0)
+    return V.recall(V.search(q, "qid", "embedding", index, 10), V.dense_topk(q, "qid", v, "name", "embedding", 10), "qid", "name")
 
 
 @query("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT vec_id, round(sqrt(list_inner_product(e, e)), 5) AS norm FROM e")

@@ -114,6 +114,56 @@ def test_cell_index_recall(spark, sf_dir):
     assert V.recall(V.cell_search(q, "q", "v", centres, index, "n", 10, probe=10), V.dense_topk(q, "q", v, "n", "v", 10), "q", "n").first()["recall"] >= 0.9
 
 
+def test_index_is_written_read_and_switched(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "VECTOR_BLOCK", 50)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(V, "STRIPE", 4)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20, 8))[rng.integers(0, 20, 900)] + 0.05 * rng.normal(size=(900, 8))
+    x[:300] = x[0] + 0.001 * rng.normal(size=(300, 8))  # a third in one place
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "n long, v array<double>")
+    q = v.where("n % 20 = 0").select(F.col("n").alias("q"), "v")
+    truth = V.dense_topk(q, "q", v, "n", "v", 10)
+    flat = V.build_index(v, "n", "v", str(tmp_path / "flat"))
+    assert len(flat.centres) == 1 and V.search(q, "q", "v", flat, 10).exceptAll(truth).isEmpty()
+    V.build_index(v, "n", "v", str(tmp_path / "cells"), flat_below=0)
+    cells = V.read_index(spark, str(tmp_path / "cells"), "n")
+    assert len(cells.centres) == 900 // 39 and cells.table.count() == 900
+    assert V.recall(V.search(q, "q", "v", cells, 10, probe=4), truth, "q", "n").first()["recall"] >= 0.9
+    assert [V.effective_cells(n) for n in (10, 10_000, 10**6, 10**12)] == [1, 256, 4000, 4096]
+    assert V.build_index(v.limit(0), "n", "v", str(tmp_path / "none")).table.count() == 0
+
+
+def test_backpropagation_and_nearest_ancestors(spark):
+    import random
+
+    rng = random.Random(2)
+    parent = {0: None, 500: 500} | {i: rng.randrange(i) for i in range(1, 200)} | {i: i - 1 for i in range(501, 900)}
+    up = {n: p for n, p in parent.items() if p is not None and p != n}
+    nodes = spark.createDataFrame([(n, p, float(n % 7)) for n, p in parent.items()], "n int, p int, r double")
+    want = {n: [0, 0.0] for n in parent}
+    near = set()
+    for n in parent:
+        at, d = n, 0
+        while at is not None:
+            want[at][0] += 1
+            want[at][1] += n % 7
+            if 0 < d <= 3:
+                near.add((n, at, d))
+            at, d = up.get(at), d + 1
+    assert {r["n"]: [r["visits"], r["value"]] for r in G.backpropagated(nodes, "n", "p", "r").collect()} == want
+    assert {tuple(r) for r in G.nearest(nodes, "n", "p", 3).collect()} == near
+    with pytest.raises(RuntimeError):
+        G.backpropagated(spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "n int, p int, r double"), "n", "p", "r", max_rounds=5)
+
+
+def test_deep_chains_have_all_ancestors(spark):
+    chain = spark.createDataFrame([(0, None), *[(i, i - 1) for i in range(1, 5001)]], "n int, p int")
+    assert G.backpropagated(chain.withColumn("r", F.lit(1.0)), "n", "p", "r").where("n = 0").first()["visits"] == 5001
+    assert G.ancestors(chain.where("n <= 700"), "n", "p").where("n = 700").count() == 700
+
+
 def test_json_sources(spark, tmp_path):
     lines, array = tmp_path / "a.jsonl", tmp_path / "b.json"
     lines.write_text('{"a": 1}\n\n{"a": 2}\nnot json\n')
