@@ -17,6 +17,7 @@ QUERY_BLOCK, VECTOR_BLOCK = 8192, 8192  # rows of the two sides that one task mu
 STRIPE = 256  # queries whose scores are in memory at once
 MAX_CELLS, CELL_SAMPLE = 4096, 39  # cells of an index at most, and vectors sampled for each; both bound what reaches the driver
 FLAT_BELOW = 10_000  # vectors up to which an index is searched whole
+PROBE_SAMPLE, PROBE_K, PROBE_SHARE = 128, 10, 0.95  # sampled vectors, their neighbours, and the share of these that the probed cells are to hold
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -163,12 +164,14 @@ class CellIndex(NamedTuple):
     centres: np.ndarray
     table: DataFrame
     name: str
+    probe: int  # cells that hold the wanted share of the neighbours of sampled vectors
 
 
 def build_index(vectors: DataFrame, name: str, vector: str, folder: str, n_cells: int | None = None, flat_below: int = FLAT_BELOW) -> CellIndex:
     """Indexes every vector and writes the index to a folder: ``centres`` and ``vectors``, sorted by cell.
 
-    Up to ``flat_below`` vectors there is one cell, so the search is exact.
+    Up to ``flat_below`` vectors there is one cell, so the search is exact. Beyond, the neighbours of
+    PROBE_SAMPLE vectors are searched exactly in one pass to learn how many cells a search has to probe.
     """
     spark = vectors.sparkSession
     n = vectors.count()
@@ -176,14 +179,26 @@ def build_index(vectors: DataFrame, name: str, vector: str, folder: str, n_cells
     cell = F.lit(0) if len(centres) == 1 else _nearest(centres, 1)(F.col(vector))[0]
     placed = vectors.select(F.col(name), F.col(vector).alias("v"), cell.cast("int").alias("cell"))
     placed.repartitionByRange("cell", F.xxhash64(name)).sortWithinPartitions("cell").write.mode("overwrite").parquet(f"{folder}/vectors")
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
-    spark.createDataFrame(rows, "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/centres")
+    probe = 1 if len(centres) == 1 else _probe(centres, spark.read.parquet(f"{folder}/vectors"), name)
+    rows = [(i, [float(x) for x in c], probe) for i, c in enumerate(centres)]
+    spark.createDataFrame(rows, "cell int, centre array<double>, probe int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/centres")
     return read_index(spark, folder, name)
 
 
 def read_index(spark: SparkSession, folder: str, name: str) -> CellIndex:
     rows = spark.read.parquet(f"{folder}/centres").orderBy("cell").collect()
-    return CellIndex(np.array([r["centre"] for r in rows]), spark.read.parquet(f"{folder}/vectors"), name)
+    return CellIndex(np.array([r["centre"] for r in rows]), spark.read.parquet(f"{folder}/vectors"), name, rows[0]["probe"])
+
+
+def _probe(centres: np.ndarray, table: DataFrame, name: str) -> int:
+    """How many cells, nearest first, hold PROBE_SHARE of the neighbours of sampled vectors."""
+    picked = table.orderBy(F.xxhash64(name), name).limit(PROBE_SAMPLE).select(F.col(name).alias("_q"), "v")
+    picked = cut(picked, "probe-sample")
+    near = dense_topk(picked, "_q", table, name, "v", PROBE_K, exclude_self=False).join(table.select(name, "cell"), name)
+    # at most PROBE_SAMPLE vectors, and PROBE_K neighbours of each
+    own = {r["_q"]: np.argsort(-(centres @ np.array(r["v"], dtype=np.float64)), kind="stable") for r in picked.collect()}
+    ranks = sorted(int(np.flatnonzero(own[r["_q"]] == r["cell"])[0]) for r in near.select("_q", "cell").collect())
+    return ranks[min(len(ranks) - 1, int(PROBE_SHARE * len(ranks)))] + 1 if ranks else 1
 
 
 def build_cell_index(vectors: DataFrame, name: str, vector: str, n_cells: int | None = None) -> tuple[np.ndarray, DataFrame]:
@@ -194,7 +209,7 @@ def build_cell_index(vectors: DataFrame, name: str, vector: str, n_cells: int |
 
 def search(queries: DataFrame, qid: str, vector: str, index: CellIndex, k: int, probe: int | None = None) -> DataFrame:
     """(qid, name, score, rank) by an index."""
-    return cell_search(queries, qid, vector, index.centres, index.table, index.name, k, probe)
+    return cell_search(queries, qid, vector, index.centres, index.table, index.name, k, probe or index.probe)
 
 
 def cell_search(queries: DataFrame, qid: str, vector: str, centres: np.ndarray, index: DataFrame, name: str, k: int, probe: int | None = None) -> DataFrame:

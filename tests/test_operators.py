@@ -130,7 +130,7 @@ def test_index_is_written_read_and_switched(spark, tmp_path, monkeypatch):
     V.build_index(v, "n", "v", str(tmp_path / "cells"), flat_below=0)
     cells = V.read_index(spark, str(tmp_path / "cells"), "n")
     assert len(cells.centres) == 900 // 39 and cells.table.count() == 900
-    assert V.recall(V.search(q, "q", "v", cells, 10, probe=4), truth, "q", "n").first()["recall"] >= 0.9
+    assert V.recall(V.search(q, "q", "v", cells, 10), truth, "q", "n").first()["recall"] >= 0.9
     assert [V.effective_cells(n) for n in (10, 10_000, 10**6, 10**12)] == [1, 256, 4000, 4096]
     assert V.build_index(v.limit(0), "n", "v", str(tmp_path / "none")).table.count() == 0
 
