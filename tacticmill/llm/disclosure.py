@@ -90,38 +90,39 @@ def _bits(hits: Column, n: Column, share: Column) -> Column:
     return F.log2((hits + WEIGHT * share) / (n + WEIGHT) / share)
 
 
-def _shares(labelled: DataFrame, label: Column) -> tuple[Column, Column]:
-    """Each kind's share of entities, among the candidates of all kinds and among its own: five rows."""
-    rows = labelled.groupBy("as_kind").agg(F.count(label).alias("n"), F.sum(label).alias("hits")).collect()
-    if not rows:
-        return F.lit(0.5), F.lit(0.5)
-    n = sum(r["n"] for r in rows)
-    hits = {r["as_kind"]: (r["hits"] or 0) + 0.5 for r in rows}
-    every = F.create_map(*[F.lit(v) for k, h in hits.items() for v in (k, h / (n + 1))])
-    own = F.create_map(*[F.lit(v) for r in rows for v in (r["as_kind"], hits[r["as_kind"]] / (r["n"] + 1))])
-    return every[F.col("as_kind")], own[F.col("as_kind")]
-
-
-def _term_view(own: DataFrame, spoken: DataFrame) -> DataFrame:
-    """own with the bits of its terms: the least and the sum."""
-    share, _ = _shares(own, F.coalesce("label", F.lit(0)))
-    hit = F.when(F.col("label") == 1, 1).otherwise(0)
-    terms = own.withColumn("term", F.explode("terms"))
-    counts = terms.groupBy("as_kind", "term").agg(F.count("*").alias("n"), F.sum(hit).alias("hits")).join(spoken, "term", "left")
-    counts = counts.select("as_kind", "term", "hits", F.greatest("n", F.coalesce("spoken", F.lit(0))).alias("n"))
-    others = F.col("hits") - hit
-    seen = terms.join(counts, ["as_kind", "term"]).withColumn("bits", F.round(_bits(others, F.greatest(F.col("n") - 1, others), share), 6))
-    keep = [F.first(c).alias(c) for c in ("label", "stated", "contexts")] + [(F.pow(F.lit(2.0), F.coalesce(F.min(F.when(F.col("n") > 1, F.col("bits"))), F.lit(0.0))) * F.first(share)).alias("chance")]
-    return seen.groupBy(*_ID).agg(F.min("bits").alias("least"), F.sum("bits").alias("term_bits"), F.sum(F.greatest("bits", F.lit(0.0))).alias("told"), *keep)
-
-
-def _judged(own: DataFrame, spoken: DataFrame) -> DataFrame:
-    """(id, stated, told, bits) of the candidates that terms and contexts disclose."""
-    seen = cut(_term_view(own, spoken).withColumn("view", F.least(F.coalesce(F.col("label").cast("double"), "chance"), F.lit(1.0))), "items-view")
-    _, share = _shares(seen, F.col("view"))
-    placed = seen.select(*_ID, "view", "least", "term_bits", "told", "stated", F.posexplode("contexts").alias("slot", "context"))
-    counts = placed.groupBy("as_kind", "slot", "context").agg(F.count("*").alias("n"), F.sum("view").alias("hits"))
-    both = placed.join(counts, ["as_kind", "slot", "context"])
+def _lookup(values: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(v) for kv in values.items() for v in kv])[F.col("as_kind")] if values else F.lit(0.5)
+
+
+def _term_view(rows: DataFrame, terms: DataFrame, hits: DataFrame, share: Column) -> DataFrame:
+    """rows with the bits of their terms: the least and the sum, and the least P(entity | term) of those seen elsewhere.
+
+    terms: (as_kind, term, n); hits: (as_kind, term, hits); own: whether the row itself is one of the hits.
+    """
+    counts = terms.join(hits, ["as_kind", "term"], "left").select("as_kind", "term", "n", F.coalesce("hits", F.lit(0)).alias("hits"))
+    others = F.col("hits") - F.col("own")
+    seen = rows.withColumn("term", F.explode("terms")).join(counts, ["as_kind", "term"]).withColumn("bits", F.round(_bits(others, F.greatest(F.col("n") - 1, others), share), 6))
+    keep = [F.first(c).alias(c) for c in ("own", "stated", "terms", "contexts")]
+    chance = F.pow(F.lit(2.0), F.coalesce(F.min(F.when(F.col("n") > 1, F.col("bits"))), F.lit(0.0))) * F.first(share)
+    return seen.groupBy(*_ID).agg(F.min("bits").alias("least"), F.sum("bits").alias("term_bits"), F.sum(F.greatest("bits", F.lit(0.0))).alias("told"), chance.alias("chance"), *keep)
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.posexplode("contexts").alias("slot", "context"))
+
+
+def _judged(seen: DataFrame, places: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """(id, stated, told, bits) of the candidates that terms and contexts disclose.
+
+    seen: candidates no term of which speaks strongly against, with view, the part of an entity each
+    counts for; places: (as_kind, slot, context, n) over all candidates; sizes: candidates by kind.
+    """
+    # at most five kinds
+    viewed = {r["as_kind"]: r["v"] for r in seen.groupBy("as_kind").agg(F.sum("view").alias("v")).collect()}
+    share = _lookup({k: ((viewed.get(k) or 0) + 0.5) / (n + 1) for k, n in sizes.items()})
+    hits = _placed(seen.select("as_kind", "contexts", "view")).groupBy("as_kind", "slot", "context").agg(F.sum("view").alias("hits"))
+    counts = hits.join(places, ["as_kind", "slot", "context"])
+    both = _placed(seen.select(*_ID, "view", "least", "term_bits", "told", "stated", "contexts")).join(counts, ["as_kind", "slot", "context"])
     # sums of shares may differ in their last bits from run to run
     bits = F.round(_bits(F.greatest(F.col("hits") - F.col("view"), F.lit(0.0)), F.col("n") - 1, share), 6)
     both = both.select(*_ID, "least", "term_bits", "told", "stated", "slot", (F.col("n") - 1).alias("n"), F.greatest(bits, F.lit(FLOOR)).alias("bits"))
@@ -131,9 +132,9 @@ def _judged(own: DataFrame, spoken: DataFrame) -> DataFrame:
         long = F.max(F.when((F.col("slot") == two) & (F.col("n") >= 4), F.col("bits")))
         return F.coalesce(long, F.max(F.when(F.col("slot") == one, F.col("bits"))))
 
-    scored = both.groupBy(*_ID).agg(F.first("least").alias("least"), F.first("term_bits").alias("term_bits"), F.first("told").alias("told"), F.first("stated").alias("stated"), (side(0, 1) + side(2, 3)).alias("placed"))
+    scored = both.groupBy(*_ID).agg(F.first("term_bits").alias("term_bits"), F.first("told").alias("told"), F.first("stated").alias("stated"), (side(0, 1) + side(2, 3)).alias("placed"))
     scored = scored.withColumn("bits", F.col("term_bits") + F.col("placed"))
-    return scored.where((F.col("least") > VETO) & ((F.col("stated") == 1) | (F.col("stated") == 0) & (F.col("bits") > THRESHOLD))).select(*_ID, "stated", "told", "bits")
+    return scored.where((F.col("stated") == 1) | (F.col("stated") == 0) & (F.col("bits") > THRESHOLD)).select(*_ID, "stated", "told", "bits")
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
@@ -171,17 +172,40 @@ def _apart(items: DataFrame) -> DataFrame:
 
 
 def disclosed(found: DataFrame) -> DataFrame:
-    """(id, stated) of the items among the candidates of a scan."""
+    """(id, stated) of the items among the candidates of a scan.
+
+    All candidates are joined with the counts of terms once; what a term speaks strongly against is in the
+    counts, but is no item in any round and is not carried on.
+    """
     spoken = found.where("kind = 'word'").groupBy(F.col("seed").alias("term")).agg(F.sum("n").alias("spoken"))
     kinds = F.when(F.col("kind") == "number", F.array(F.lit("phone"), F.lit("id_number"))).otherwise(F.array("kind"))
-    rows = found.where("kind <> 'word'").withColumn("as_kind", F.explode(kinds))
-    # 1: stated as this kind, 0: stated as another, which it then is not; NULL: open
-    label = F.when(F.col("seed") == F.col("as_kind"), 1).when(F.col("seed") != "", 0)
-    own = rows.select(*_ID, "terms", "contexts", label.alias("label"), F.when(label == 1, 1).when(label == 0, -1).otherwise(0).alias("stated"))
-    items = cut(_apart(_judged(own, spoken)), "items-round")
+    # stated: 1 as this kind, -1 as another, which it then is not, 0 open
+    stated = F.when(F.col("seed") == F.col("as_kind"), 1).when(F.col("seed") != "", -1).otherwise(0)
+    rows = found.where("kind <> 'word'").withColumn("as_kind", F.explode(kinds)).select(*_ID, "terms", "contexts", stated.alias("stated"))
+    rows = rows.withColumn("own", F.when(F.col("stated") == 1, 1).otherwise(0))
+    # at most five kinds
+    counted = rows.groupBy("as_kind").agg(F.count("*").alias("n"), F.sum("own").alias("hits")).collect()
+    sizes = {r["as_kind"]: r["n"] for r in counted}
+
+    def among_all(hits: dict[str, int]) -> Column:
+        return _lookup({k: ((hits.get(k) or 0) + 0.5) / (sum(sizes.values()) + 1) for k in sizes})
+
+    counts = rows.select("as_kind", "own", F.explode("terms").alias("term")).groupBy("as_kind", "term").agg(F.count("*").alias("n"), F.sum("own").alias("hits")).join(spoken, "term", "left")
+    counts = cut(counts.select("as_kind", "term", "hits", F.greatest("n", F.coalesce("spoken", F.lit(0))).alias("n")), "items-terms")
+    places = cut(_placed(rows.select("as_kind", "contexts")).groupBy("as_kind", "slot", "context").agg(F.count("*").alias("n")), "items-places")
+    first = _term_view(rows, counts.drop("hits"), counts.select("as_kind", "term", "hits"), among_all({r["as_kind"]: r["hits"] for r in counted})).where(F.col("least") > VETO)
+    view = F.when(F.col("stated") == 1, 1.0).when(F.col("stated") == -1, 0.0).otherwise(F.least("chance", F.lit(1.0)))
+    seen = cut(first.withColumn("view", view), "items-view")
+    items = cut(_apart(_judged(seen, places, sizes)), "items-round")
+    left = seen.select(*_ID, "terms", "contexts", "stated")
     for _ in range(ROUNDS - 1):
-        again = own.join(items.select(*_ID, F.lit(1).alias("item")), _ID, "left").withColumn("label", F.coalesce("item", F.lit(0))).drop("item")
-        items = cut(_apart(_judged(again, spoken)), "items-round")
+        again = left.join(items.select(*_ID, F.lit(1).alias("item")), _ID, "left").withColumn("own", F.coalesce("item", F.lit(0))).drop("item")
+        again = cut(again, "items-again")
+        hits = again.where("own = 1").select("as_kind", F.explode("terms").alias("term")).groupBy("as_kind", "term").agg(F.count("*").alias("hits"))
+        held = {r["as_kind"]: r["count"] for r in again.where("own = 1").groupBy("as_kind").count().collect()}
+        seen = _term_view(again, counts.drop("hits"), hits, among_all(held)).where(F.col("least") > VETO)
+        seen = cut(seen.withColumn("view", F.col("own").cast("double")), "items-view")
+        items = cut(_apart(_judged(seen, places, sizes)), "items-round")
     return items
 
 

@@ -105,9 +105,13 @@ def _shape(s: str) -> str:
     return re.sub(r"\d", "9", re.sub(r"[A-Za-z]", "A", s))
 
 
+def _number_free(token: str) -> str:
+    return "0" if token.isdigit() else token
+
+
 def _contexts(text: str, start: int, end: int) -> list[str]:
-    left = _TOKEN.findall(text[max(0, start - 30) : start].lower())[-2:] or ["^"]
-    right = _TOKEN.findall(text[end : end + 30].lower())[:2] or ["$"]
+    left = [_number_free(t) for t in _TOKEN.findall(text[max(0, start - 30) : start].lower())[-2:]] or ["^"]
+    right = [_number_free(t) for t in _TOKEN.findall(text[end : end + 30].lower())[:2]] or ["$"]
     return [left[-1], " ".join(left), right[0], " ".join(right)]
 
 
