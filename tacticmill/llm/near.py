@@ -275,7 +275,7 @@ def expand(links: DataFrame, members: DataFrame) -> DataFrame:
 def near_pairs(df: DataFrame, key: str, parts: list[str], **options) -> DataFrame:
     """(record_id_a, record_id_b), a < b, of all pairs that reach the threshold."""
     links, members = near_classes(df, key, parts, **options)
-    return expand(links, members)
+    return expand(links, cut(members, "near-members"))
 
 
 def near_groups(df: DataFrame, key: str, parts: list[str], **options) -> DataFrame:

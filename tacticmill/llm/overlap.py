@@ -81,6 +81,8 @@ def overlap_pairs(
     members = fp.select("cls", "side", "id").distinct()
     if without is not None:
         members = members.join(without.select(F.col(without.columns[0]).cast("long").alias("id")), "id", "left_anti")
+    # read several times below
+    members = cut(members, "overlap-members")
     blocks = fp.where("keys is not null").select("cls", "side", "bits", F.explode("keys").alias("key"))
     held_rows, train_rows = blocks.where("side = 'held'").drop("side"), blocks.where("side = 'train'").drop("side")
     hot = cut(hot_bands(train_rows, fp.where("keys is not null and side = 'train'").count()), "overlap-hot")
