@@ -128,8 +128,8 @@ def _judged(seen: DataFrame, places: DataFrame, sizes: dict[str, int]) -> DataFr
     both = both.select(*_ID, "least", "term_bits", "told", "stated", "slot", (F.col("n") - 1).alias("n"), F.greatest(bits, F.lit(FLOOR)).alias("bits"))
 
     def side(one: int, two: int) -> Column:
-        """The bits of two tokens where they were seen four times elsewhere, else those of one."""
-        long = F.max(F.when((F.col("slot") == two) & (F.col("n") >= 4), F.col("bits")))
+        """The bits of two tokens where they were seen eight times elsewhere, else those of one."""
+        long = F.max(F.when((F.col("slot") == two) & (F.col("n") >= 8), F.col("bits")))
         return F.coalesce(long, F.max(F.when(F.col("slot") == one, F.col("bits"))))
 
     scored = both.groupBy(*_ID).agg(F.first("term_bits").alias("term_bits"), F.first("told").alias("told"), F.first("stated").alias("stated"), (side(0, 1) + side(2, 3)).alias("placed"))

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 COPY_SHARE = 0.8
 SHINGLE = 3
 REFUSAL_SHARE = 0.8
-MARGIN, EVIDENCE = 0.4, 30.0  # bits a letter, and in all, by which another language must explain the words better than the expected one
+MARGIN, EVIDENCE = 0.6, 50.0  # bits a letter, and in all, by which another language must explain the words better than the expected one
 BACK_OFF = 2.0  # occurrences that a shorter run of letters counts for
 
 # What declining to answer looks like, in normalised words.

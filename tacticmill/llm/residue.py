@@ -39,8 +39,8 @@ from pyspark.sql import types as T
 
 from tacticmill.session import cut
 
-CONTAINMENT, COVERAGE = 0.7, 0.6  # of an exemplar in a window, of the window by the exemplar
-FILLED = 0.7  # of a line by one or two words, of a window by filler
+CONTAINMENT, COVERAGE = 0.7, 0.6  # of an exemplar in a window, of the window by the exemplar or by filler
+FILLED = 0.7  # of a line by one or two words
 
 # Shapes of unfilled templates and of markup, by token.
 MARKUP = {
@@ -267,7 +267,7 @@ def covered(tokens: list[str], mass: dict[str, float]) -> bool:
         for start in range(max(1, len(tokens) - FILLER_WINDOW + 1)):
             part = tokens[start : start + FILLER_WINDOW]
             told = [mass[t] for t in part if is_filler(t)]
-            if len(part) >= 4 and len(told) >= 3 and sum(told) >= FILLED * sum(mass[t] for t in part):
+            if len(part) >= 4 and len(told) >= 3 and sum(told) >= COVERAGE * sum(mass[t] for t in part):
                 return True
     return False
 
