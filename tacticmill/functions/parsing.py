@@ -184,6 +184,36 @@ def theorem_blocks(s: str | None) -> list[str]:
     return [re.split(r"\n\s*\n(?=\S)", (s or "")[a:b])[0].rstrip() for a, b in zip(starts, ends)]
 
 
+class Range(NamedTuple):
+    name: str
+    start: int
+    end: int
+
+
+def namespaces(s: str | None) -> list[Range]:
+    """Namespaces of a source text with their first and last line from 1, in the order in which they close; unclosed ones drop out.
+
+    A named ``end`` closes the innermost open namespace.
+    """
+    opened: list[tuple[str, int]] = []
+    out = []
+    for n, line in enumerate((s or "").split("\n"), 1):
+        words = line.split()
+        if len(words) < 2:
+            continue
+        if words[0] == "namespace":
+            opened.append((words[1], n))
+        elif words[0] == "end" and opened:
+            name, start = opened.pop()
+            out.append(Range(name, start, n))
+    return out
+
+
+def namespace_at(ranges: list[Range], line: int) -> str:
+    """The innermost namespace around a line, or an empty name."""
+    return next((r.name for r in ranges if r.start <= line <= r.end), "")
+
+
 _TEXTS = T.ArrayType(T.StringType())
 
 
@@ -216,3 +246,8 @@ def _outputs(x: pd.Series) -> pd.DataFrame:
 
 def parse_output_column(x: Column) -> Column:
     return _outputs(x)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("name", T.StringType()).add("start", T.IntegerType()).add("end", T.IntegerType())))
+def namespaces_column(x: pd.Series) -> pd.Series:
+    return x.map(lambda s: [r._asdict() for r in namespaces(s)], na_action=None).astype(object)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,10 @@ ERROR_CLASSES = [
 ]
 CONFIDENCE = {"TYPE_MISMATCH": 0.8, "UNKNOWN_IDENTIFIER": 0.9, "TACTIC_FAILED": 0.7, "UNSOLVED_GOALS": 0.6, "PARSE_ERROR": 0.95, "ELABORATION_ERROR": 0.6, "METAVAR_UNRESOLVED": 0.5, "TIMEOUT": 0.85, "OTHER": 0.3}
 
+# Classes and number of failures at which a tactic is given up, and signs that combine tactics.
+GIVE_UP_CLASSES, GIVE_UP_AFTER = ("ELABORATION_ERROR", "METAVAR_UNRESOLVED", "TIMEOUT"), 3
+COMBINATORS = ["<;>", ";", "·", ">>", "|||"]
+
 #: An identifier: Unicode letters and digits after an ASCII start, dots inside.
 IDENTIFIER = r"[A-Za-z_][\p{L}\p{N}_.]*"
 PREMISE = r"@?[A-Z][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*"
@@ -170,7 +176,30 @@ def error_class(message: Column) -> Column:
 
 
 def repair_route(label: Column, failures: Column) -> Column:
-    return F.when(label.isin("ELABORATION_ERROR", "METAVAR_UNRESOLVED", "TIMEOUT") | (failures >= 3), F.lit("ESR")).otherwise(F.lit("ETR"))
+    return F.when(label.isin(*GIVE_UP_CLASSES) | (failures >= GIVE_UP_AFTER), F.lit("ESR")).otherwise(F.lit("ETR"))
+
+
+def route_of(message: str, failures: int) -> tuple[str, str]:
+    """(class, route) of one message; the same rules as the columns', for use beside an external kernel."""
+    low = (message or "").lower()
+    label = next((label for pattern, label in ERROR_CLASSES if re.search(pattern, low, re.S)), "OTHER")
+    return label, "ESR" if label in GIVE_UP_CLASSES or failures >= GIVE_UP_AFTER else "ETR"
+
+
+def unwrapped_message(message: Column) -> Column:
+    """What stands between data=' and the next quote, if anything does; else the message."""
+    inner = F.regexp_extract(text(message), r"(?s)data='([^']+)'", 1)
+    return F.when(inner != "", inner).otherwise(text(message))
+
+
+def single_tactic(x: Column) -> Column:
+    """(name, combinator) of a tactic: its first word, or all of it if it starts with none, and whether it combines others."""
+    t = strip(text(x))
+    head = F.regexp_extract(t, r"^([\p{L}\p{N}_]+)", 1)
+    combines = F.lit(False)
+    for sign in COMBINATORS:
+        combines = combines | F.contains(t, F.lit(sign))
+    return F.struct(F.when(head != "", head).otherwise(t).alias("name"), combines.alias("combinator"))
 
 
 def confidence(label: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tacticmill.functions.text import first_token, hash_number, hash_unit, strip
 ERROR_TYPES = ["tactic_typo", "wrong_tactic", "argument_error", "missing_step"]
 POOL = ["simp", "ring", "norm_num", "omega", "trivial", "assumption"]
 STAND_INS = ["done", "rfl", "exact _"]
+# Usual misspellings of frequent tactics.
+TYPOS = {"simp": ["simpp", "smp", "sinp"], "apply": ["aply", "appply", "aplly"], "exact": ["excat", "exaxt", "ecact"], "rw": ["wr", "rww", "re"], "intro": ["intto", "inro", "introo"]}
 
 
 def weighted_draw(key: Column, weights: dict[str, float]) -> Column:
@@ -74,7 +78,7 @@ def correction_pair(tactic: Column, head: Column, h: Column) -> Column:
     return F.coalesce(typo(tactic, head, h), wrong_tactic(tactic, head, h))
 
 
-def inject(steps: DataFrame, key: list[str], tactic: str, step: str, weights: dict[str, float] | None = None) -> DataFrame:
+def inject(steps: DataFrame, key: list[str], tactic: str, step: str, weights: dict[str, float] | None = None, misspelt: Callable[[Column, Column, Column], Column] = typo) -> DataFrame:
     """(key, error_type, error_tactic): all types at the first step, one weighted type at the others; unchanged tactics drop out."""
     weights = weights or dict.fromkeys(ERROR_TYPES, 1.0)
     seed = F.concat_ws("|", *key)
@@ -82,12 +86,52 @@ def inject(steps: DataFrame, key: list[str], tactic: str, step: str, weights: di
     rows = steps.where(text(F.col(tactic)) != "").select(*key, tactic, first_token(F.col(tactic)).alias("_head"), F.explode(kinds).alias("error_type"))
     rows = rows.withColumn("_h", hash_number(F.concat_ws("|", *key, "error_type")))
     t, head, h, kind = F.col(tactic), F.col("_head"), F.col("_h"), F.col("error_type")
-    made = F.when(kind == "tactic_typo", typo(t, head, h)).when(kind == "wrong_tactic", wrong_tactic(t, head, h)).when(kind == "argument_error", argument_error(t, head, h)).otherwise(missing_step(h))
+    made = F.when(kind == "tactic_typo", misspelt(t, head, h)).when(kind == "wrong_tactic", wrong_tactic(t, head, h)).when(kind == "argument_error", argument_error(t, head, h)).otherwise(missing_step(h))
     # generated, so that the conditions below do not copy the expression
     faulty = rows.select("*", F.explode(F.array(made)).alias("error_tactic")).drop("_head", "_h")
     return faulty.where("error_tactic is not null and error_tactic <> ''").where(F.col("error_tactic") != t)
 
 
+def mapped_typo(tactic: Column, head: Column, h: Column, typos: dict[str, list[str]]) -> Column:
+    """A usual misspelling of the head where one is listed, else a made one."""
+    out = typo(tactic, head, h)
+    for name, forms in typos.items():
+        chosen = F.get(F.array(*map(F.lit, forms)), (h % len(forms)).cast("int"))
+        out = F.when(head == name, F.concat(chosen, F.substring(tactic, F.position(head, tactic) + F.length(head), F.length(tactic)))).otherwise(out)
+    return out
+
+
+def argument_hint(tactic: Column, h: Column) -> Column:
+    """What ``argument_error`` did to the arguments."""
+    words = F.split(strip(tactic), r"\s+")
+    n = F.size(words) - 1
+    i = (h % F.greatest(n, F.lit(1))).cast("int")
+    j = F.pmod(i + 1, F.greatest(n, F.lit(1)))
+    place = (i + 1).cast("string")
+    swapped = F.concat(F.lit("swapped args: positions "), place, F.lit(" and "), (j + 1).cast("string"))
+    dropped = F.concat(F.lit("missing arg: arg "), place, F.lit(" '"), F.get(words, i + 1), F.lit("' was removed"))
+    inserted = F.concat(F.lit("extra arg: inserted 'h' at position "), place)
+    return F.when(h % 3 == 0, swapped).when(h % 3 == 1, dropped).otherwise(inserted)
+
+
+def inject_with_hints(steps: DataFrame, key: list[str], tactic: str, step: str, weights: dict[str, float] | None = None, typos: dict[str, list[str]] | None = None) -> DataFrame:
+    """(key, error_type, error_tactic, repair_hint) like ``inject``, typos taken from ``typos`` where it lists the head."""
+    typos = TYPOS if typos is None else typos
+    made = inject(steps, key, tactic, step, weights, lambda t, head, h: mapped_typo(t, head, h, typos))
+    t, bad = F.col(tactic), F.col("error_tactic")
+    h = hash_number(F.concat_ws("|", *key, "error_type"))
+    head, wrong = first_token(t), first_token(bad)
+    slip = F.concat(F.lit("typo: '"), wrong, F.lit("' should be '"), head, F.lit("'"))
+    hint = (
+        F.when(F.col("error_type") == "tactic_typo", slip)
+        .when(F.col("error_type") == "wrong_tactic", F.concat(F.lit("wrong tactic: should use '"), head, F.lit("' instead of '"), wrong, F.lit("'")))
+        .when(F.col("error_type") == "missing_step", F.concat(F.lit("missing step: used '"), bad, F.lit("' placeholder, should be '"), t, F.lit("'")))
+        .when(F.size(F.split(strip(t), r"\s+")) < 2, slip)
+        .otherwise(argument_hint(t, h))
+    )
+    return made.withColumn("repair_hint", hint)
+
+
 def quotas(total: int, weights: dict[str, float]) -> dict[str, int]:
     """floor(total * weight) for each, the last takes the remainder."""
     names = list(weights)

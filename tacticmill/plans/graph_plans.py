@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tacticmill.functions import text as X
@@ -9,7 +11,7 @@ from tacticmill.operators import augment as A
 from tacticmill.operators import graph as G
 from tacticmill.operators import joins as J
 from tacticmill.operators import sampling as S
-from tacticmill.plans.base import COS, ERR, FIRST, STEPS, hash_number_sql, query, records, steps, table
+from tacticmill.plans.base import COS, ERR, FIRST, STEPS, STRIP, hash_number_sql, query, records, steps, table
 
 _TREE = "tree AS (SELECT p_partkey AS node, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END AS parent, round(p_retailprice, 2) AS reward, p_size % 10 = 0 AS solved FROM part)"
 _PATHS = f"WITH RECURSIVE {_TREE}, up(node, ancestor, distance) AS (SELECT node, parent, 1 FROM tree WHERE parent IS NOT NULL UNION ALL SELECT u.node, t.parent, u.distance + 1 FROM up u JOIN tree t ON t.node = u.ancestor WHERE t.parent IS NOT NULL)"
@@ -128,7 +130,37 @@ def error_injection(spark, d):
     return A.inject(steps(spark, d), ["cos_id", "step_index"], "tactic", "step_index").where("error_type <> 'argument_error'").select("cos_id", "step_index", "error_type", "error_tactic")
 
 
-@query()
+def _hints_sql() -> str:
+    head, bad = FIRST.format("tactic"), FIRST.format("error_tactic")
+    h = hash_number_sql("cos_id || '|' || step_index || '|' || error_type")
+    mapped = " ".join(f"WHEN error_type = 'tactic_typo' AND {head} = '{name}' THEN {forms}[CAST({h} % {len(forms)} AS BIGINT) + 1] || substr(tactic, strpos(tactic, '{name}') + {len(name)})" for name, forms in A.TYPOS.items())
+    made = _errors_sql().replace("CASE error_type WHEN 'tactic_typo' THEN", f"CASE {mapped} WHEN error_type = 'tactic_typo' THEN", 1).replace("WHEN 'wrong_tactic' THEN", "WHEN error_type = 'wrong_tactic' THEN", 1)
+    made = made.replace("SELECT cos_id, step_index, error_type, error_tactic FROM m", ", e AS (SELECT * FROM m", 1)
+    return f"""{made}) SELECT cos_id, step_index, error_type, error_tactic, CASE error_type WHEN 'tactic_typo' THEN 'typo: ''' || {bad} || ''' should be ''' || {head} || '''' WHEN 'wrong_tactic' THEN 'wrong tactic: should use ''' || {head} || ''' instead of ''' || {bad} || ''''
+ELSE 'missing step: used ''' || error_tactic || ''' placeholder, should be ''' || tactic || '''' END AS repair_hint FROM e"""
+
+
+@query(_hints_sql())
+def error_hints(spark, d):
+    """Injected errors with usual misspellings and the hint that leads back."""
+    e = A.inject_with_hints(steps(spark, d), ["cos_id", "step_index"], "tactic", "step_index").where("error_type <> 'argument_error'")
+    return e.select("cos_id", "step_index", "error_type", "error_tactic", "repair_hint")
+
+
+def _argument_sql() -> str:
+    head = FIRST.format("tactic")
+    h = hash_number_sql("cos_id || '|' || step_index || '|' || error_type")
+    drawn = _errors_sql().replace("WHERE error_type <> 'argument_error'", "WHERE error_type = 'tactic_typo' OR error_type = 'argument_error'")
+    drawn = drawn[: drawn.index(", m AS (")]
+    typo = re.search(r"WHEN 'tactic_typo' THEN (CASE WHEN .*? END) WHEN 'wrong_tactic'", _errors_sql(), re.S).group(1)
+    return f"""{drawn}, a AS (SELECT cos_id, step_index, error_type, tactic, {h} AS h, regexp_split_to_array({STRIP.format('tactic')}, '\\s+') AS ws FROM k WHERE error_type = 'argument_error'),
+b AS (SELECT *, len(ws) - 1 AS n, ws[2:] AS args, CAST(h % greatest(len(ws) - 1, 1) AS BIGINT) AS i FROM a), c AS (SELECT *, (i + 1) % greatest(n, 1) AS j FROM b),
+e AS (SELECT cos_id, step_index, tactic, CASE WHEN n < 1 THEN {typo} WHEN h % 3 = 2 THEN array_to_string([ws[1]] || args[1:i] || ['h'] || args[i + 1:], ' ') WHEN n < 2 THEN NULL
+WHEN h % 3 = 0 THEN array_to_string([ws[1]] || list_transform(args, lambda x, p: CASE WHEN p - 1 = i THEN args[j + 1] WHEN p - 1 = j THEN args[i + 1] ELSE x END), ' ') ELSE array_to_string([ws[1]] || list_filter(args, lambda x, p: p - 1 <> i), ' ') END AS error_tactic FROM c)
+SELECT cos_id, step_index, tactic, error_tactic FROM e WHERE coalesce(error_tactic, '') <> '' AND error_tactic <> tactic"""
+
+
+@query(_argument_sql())
 def argument_errors(spark, d):
     """Swapped, dropped and inserted arguments; properties are tested."""
     return A.inject(steps(spark, d), ["cos_id", "step_index"], "tactic", "step_index").where("error_type = 'argument_error'").select("cos_id", "step_index", "tactic", "error_tactic")

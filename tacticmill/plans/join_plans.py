@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tacticmill.functions import text as X
 from tacticmill.operators import joins as J
 from tacticmill.operators import windows as W
-from tacticmill.plans.base import COS, ERR, FIRST, REF, STEPS, hash_number_sql, query, records, steps, table
+from tacticmill.plans.base import COS, ERR, FIRST, REF, STEPS, STRIP, hash_number_sql, query, records, steps, table
 
 _TIERS = f"""{COS},
 full_names AS (SELECT theorem_full_name AS k, cos_id FROM cos WHERE theorem_full_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY theorem_full_name ORDER BY cos_id DESC) = 1),
@@ -39,8 +39,19 @@ def _premises(spark, d):
 
 
 
+def _cited_sql() -> str:
+    quoted = [p.replace("'", "''") for p in X.SINGLE_CITATIONS]
+    single = " || ".join(f"list_transform(regexp_extract_all(t, '{p}', 1), lambda n: regexp_replace(n, '^@+', ''))" for p in quoted)
+    # items of lists; a comma inside brackets opens no item
+    flat = r"regexp_replace(g, '\([^()]*\)|\{[^{}]*\}|⟨[^⟨⟩]*⟩', '', 'g')"
+    items = " || ".join(f"flatten(list_transform(regexp_extract_all(t, '{p}', 1), lambda g: string_split({flat}, ',')))" for p in X.LIST_CITATIONS)
+    head = r"regexp_extract(regexp_replace(" + STRIP.format("s") + r", '^[←]*-*\s*@*', ''), '^([A-Z][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*)', 1)"
+    known = f"length(p) >= 2 AND NOT list_contains({X.NOT_PREMISES}, p) AND NOT (p = lower(p) AND regexp_matches(p, '[a-z]') AND NOT contains(p, '.')) AND NOT regexp_matches(p, '^[0-9]+$')"
+    return f"""WITH {STEPS}, a AS (SELECT cos_id, step_index, coalesce(tactic, '') AS t FROM steps)
+SELECT cos_id, step_index, unnest(list_distinct(list_filter({single} || list_transform({items}, lambda s: {head}), lambda p: {known}))) AS premise FROM a"""
 
-@query()
+
+@query(_cited_sql())
 def cited_premises(spark, d):
     """Premises that each tactic cites; parsed by pattern and tested on cases."""
     return steps(spark, d).select("cos_id", "step_index", F.explode(X.premises(F.col("tactic"))).alias("premise"))
@@ -60,7 +71,20 @@ def resolved_premises(spark, d):
     return J.resolve_names(cited, "cited", J.corpus_keys(table(spark, d, "corpus").select("name"), "name", ["name"]))
 
 
-@query()
+def _positive_sql() -> str:
+    cited = _cited_sql()
+    cited = cited[: cited.rindex("SELECT cos_id")].replace("coalesce(tactic, '') AS t FROM", "coalesce(tactic, '') AS t, state_before FROM")
+    named = _cited_sql()[_cited_sql().rindex("SELECT cos_id") :].replace("SELECT cos_id, step_index,", "SELECT cos_id, step_index, state_before,", 1)
+    return f"""{cited}, q AS ({named}), k AS (SELECT name AS target, 'exact' AS kind, name AS key FROM corpus UNION ALL SELECT name, 'short', string_split(name, '.')[-1] FROM corpus WHERE len(string_split(name, '.')) >= 2
+UNION ALL SELECT name, 'short', array_to_string(list_slice(string_split(name, '.'), -2, -1), '.') FROM corpus WHERE len(string_split(name, '.')) >= 3),
+keys AS (SELECT kind, key, min(target) AS target FROM k GROUP BY 1, 2), p AS (SELECT DISTINCT premise AS cited FROM q),
+c AS (SELECT cited, 0 AS prio, 'exact' AS kind, cited AS key FROM p UNION ALL SELECT cited, i, 'short', array_to_string(string_split(cited, '.')[i:], '.') FROM p, unnest(range(1, len(string_split(cited, '.')) + 1)) t(i)),
+r AS (SELECT cited, arg_min(target, prio) AS target FROM c JOIN keys USING (kind, key) GROUP BY cited),
+o AS (SELECT cos_id, step_index, target, type_expr, md5(state_before || '|' || target) AS hash FROM q JOIN r ON r.cited = q.premise JOIN (SELECT name AS target, type_expr FROM corpus) USING (target) WHERE length(state_before) BETWEEN 20 AND 2048)
+SELECT cos_id, step_index, target AS positive_name, target || ' : ' || type_expr AS positive_text, hash FROM o QUALIFY row_number() OVER (PARTITION BY hash ORDER BY cos_id, step_index) = 1"""
+
+
+@query(_positive_sql())
 def positive_pairs(spark, d):
     """States with the corpus text of each premise their tactic cites, one row for each premise, keep-first by hash."""
     cited, resolved = _premises(spark, d)

@@ -98,11 +98,21 @@ def tree_search(spark, d):
     return _search(_theorems(spark, d))
 
 
+def _repairs(tactic: str, route: str) -> list[str]:
+    return [" ".join(tactic.split()), "simp", "omega"] if route == "ETR" else ["ring", "tauto", "norm_num"]
+
+
+@query()
+def state_search(spark, d):
+    """Two-level search with repair over each chain's own tactics against the stand-in kernel."""
+    return H.state_search(_theorems(spark, d), lambda: kernel.StandInKernel(0.3), lambda state: state.startswith("0"), _repairs)
+
+
 @query()
 def repair_loop(spark, d):
-    """Faulty tactics repaired against the stand-in kernel: hints first, then other heads."""
+    """Faulty tactics repaired against the stand-in kernel by the route that its message calls for."""
     e = records(spark, d, "error_records", "state_before", "error_tactic").select("error_id", X.text(F.col("state_before")).alias("state"), "error_tactic")
-    return H.repair(e, lambda t, route: [t.replace("  ", " "), "simp", "omega"] if route == "ETR" else ["ring", "tauto", "norm_num"], lambda: kernel.StandInKernel(0.6))
+    return H.repair(e, _repairs, lambda: kernel.StandInKernel(0.6))
 
 
 @query()

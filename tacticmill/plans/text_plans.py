@@ -67,7 +67,14 @@ def message_summaries(spark, d):
     return records(spark, d, "error_records", "error_message").select("error_id", X.message_summary(F.col("error_message")).alias("summary"))
 
 
-@query()
+_NAMES = f"""WITH {STEPS}, a AS (SELECT cos_id, step_index, {STRIP.format("coalesce(tactic, '')")} AS t FROM steps),
+b AS (SELECT *, list_filter(list_transform(flatten(list_transform(regexp_extract_all(t, '\\[([^\\]]+)\\]', 1), lambda g: string_split(g, ','))), lambda p: regexp_replace({STRIP.format('p')}, '^[←↔]\\s*', '')), lambda p: length(p) > 2) AS inside,
+list_filter(list_transform(regexp_split_to_array(regexp_replace(t, '[\\[\\]]', ' ', 'g'), '\\s+'), lambda w: regexp_replace(w, '^[(),;]+|[(),;]+$', '', 'g')), lambda w: w <> '') AS words FROM a),
+c AS (SELECT *, inside || list_filter(words, lambda w: length(w) > 2 AND contains(w, '.') AND NOT starts_with(w, '-')) AS own, list_filter(words, lambda w: length(w) > 2 AND NOT list_contains({X.TACTIC_WORDS}, lower(w)))[1:1] AS plain FROM b)
+SELECT cos_id, step_index, array_to_string(CASE WHEN len(own) > 0 THEN own WHEN len(plain) > 0 THEN plain WHEN t <> '' THEN [t] ELSE [] END, ' ') AS names FROM c"""
+
+
+@query(_NAMES)
 def tactic_names(spark, d):
     """What each tactic names; tested on cases and inside the consistency query."""
     return steps(spark, d).select("cos_id", "step_index", F.array_join(X.tactic_identifiers(F.col("tactic")), " ").alias("names"))
@@ -214,6 +221,40 @@ def message_citation(spark, d):
     return r.select("record_id", F.coalesce((F.length("m") >= 20) & F.contains("reflection", F.substring("m", 1, 20)), F.lit(False)).alias("cited"))
 
 
+@query(
+    f"""WITH {REF}, a AS (SELECT record_id, reflection, coalesce(error_message, '') AS e, regexp_extract(coalesce(error_message, ''), 'data=''([^'']+)''', 1, 's') AS inside FROM ref), b AS (SELECT record_id, reflection, e, CASE WHEN inside <> '' THEN inside ELSE e END AS m FROM a)
+SELECT record_id, coalesce(length(e) >= 20 AND length(m) >= 10 AND contains(reflection, substr(m, 1, 20)), false) AS cited FROM b"""
+)
+def unwrapped_citation(spark, d):
+    """Citation of the message inside its wrapper, by its first twenty characters."""
+    r = records(spark, d, "reflection_records", "reflection", "error_message").withColumn("m", X.unwrapped_message(F.col("error_message")))
+    long = (F.length(X.text(F.col("error_message"))) >= 20) & (F.length("m") >= 10)
+    return r.select("record_id", F.coalesce(long & F.contains("reflection", F.substring("m", 1, 20)), F.lit(False)).alias("cited"))
+
+
+@query(
+    f"""WITH {STEPS}, a AS (SELECT cos_id, step_index, {STRIP.format("coalesce(tactic, '')")} AS t FROM steps)
+SELECT cos_id, step_index, coalesce(nullif(regexp_extract(t, '^([\\pL\\pN_]+)', 1), ''), t) AS name, {' OR '.join(f"contains(t, '{c}')" for c in X.COMBINATORS)} AS combinator FROM a"""
+)
+def tactic_forms(spark, d):
+    """Each step's tactic: its name and whether it combines others."""
+    return steps(spark, d).select("cos_id", "step_index", X.single_tactic(F.col("tactic")).alias("t")).select("cos_id", "step_index", "t.name", "t.combinator")
+
+
+@query(r"SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, m[i] AS module FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^import[ \t]+([^ \t\n][^\n]*)', 1) AS m FROM documents WHERE source = 'lean_source') a, unnest(range(1, len(m) + 1)) t(i)")
+def source_imports(spark, d):
+    """Modules that the source documents import, in their order."""
+    docs = table(spark, d, "documents").where("source = 'lean_source'")
+    return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?m)^import[ \t]+([^ \t\n][^\n]*)"), 1)).alias("n", "module"))
+
+
+@query()
+def namespace_ranges(spark, d):
+    """Namespaces of the source documents with their lines."""
+    docs = table(spark, d, "documents").where("source = 'lean_source'")
+    return docs.select("doc_id", F.explode(Y.namespaces_column(F.col("text"))).alias("r")).select("doc_id", "r.name", "r.start", "r.end")
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_valid(props) AS ok FROM events")
 def json_parse(spark, d):
     """Tolerant JSON parsing with a flag for what did not parse."""

@@ -153,28 +153,89 @@ def _now() -> str:
     return datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
 
 
-def in_batches(df: DataFrame, call: Callable[[list[dict]], list[dict]], schema: str, size: int = 64, attempts: int = 3) -> DataFrame:
-    """An external service as a partition function: fixed-size batches, retries with growing pauses. Parallelism is the number of partitions."""
+def with_retries(call: Callable, attempts: int = 3, base: float = 0.1, longest: float = 60.0, pause: Callable[[float], None] | None = None):
+    """call's result; a failed call is made again after base * 2^n seconds, at most ``longest``, times a random factor from 0.5 to 1.5."""
+    import random
     import time
 
+    for attempt in range(attempts):
+        try:
+            return call()
+        except Exception:
+            if attempt == attempts - 1:
+                raise
+            (pause or time.sleep)(min(base * 2**attempt, longest) * (0.5 + random.random()))
+
+
+class Pace:
+    """Lets at most ``rate`` calls a second start, whichever thread makes them."""
+
+    def __init__(self, rate: float | None):
+        import threading
+
+        self.gap, self.next, self.lock = 1 / rate if rate else 0.0, 0.0, threading.Lock()
+
+    def __call__(self) -> None:
+        import time
+
+        with self.lock:
+            now = time.monotonic()
+            at = max(now, self.next)
+            self.next = at + self.gap
+        if at > now:
+            time.sleep(at - now)
+
+
+def in_batches(df: DataFrame, call: Callable[[list[dict]], list[dict]], schema: str, size: int = 64, attempts: int = 3, concurrency: int = 1, rate: float | None = None) -> DataFrame:
+    """An external service as a partition function: batches of fixed size, retries with growing pauses and jitter.
+
+    A task has at most ``concurrency`` calls under way and starts at most ``rate`` of them a second; the
+    number of partitions multiplies both. Answers keep the order of their batches.
+    """
+
     def run(frames: Iterator) -> Iterator:
+        from concurrent.futures import ThreadPoolExecutor
+
         import pandas as pd
 
-        for frame in frames:
-            rows = frame.to_dict("records")
-            for i in range(0, len(rows), size):
-                for attempt in range(attempts):
-                    try:
-                        yield pd.DataFrame(call(rows[i : i + size]))
-                        break
-                    except Exception:
-                        if attempt == attempts - 1:
-                            raise
-                        time.sleep(0.1 * 2**attempt)
+        pace = Pace(rate)
+
+        def once(part: list[dict]) -> list[dict]:
+            pace()
+            return call(part)
+
+        with ThreadPoolExecutor(concurrency) as pool:
+            for frame in frames:
+                rows = frame.to_dict("records")
+                parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+                for answer in pool.map(lambda part: with_retries(lambda: once(part), attempts), parts):
+                    yield pd.DataFrame(answer)
 
     return df.mapInPandas(run, schema)
 
 
+def load_config(path: str) -> dict:
+    """A nested configuration from a JSON or YAML file; an empty file is an empty configuration. YAML needs its library."""
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            import json
+
+            return json.loads(f.read() or "{}")
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("YAML files need the yaml library; use JSON") from e
+        return yaml.safe_load(f) or {}
+
+
+def check_environment(paths: dict[str, str], modules: list[str] = ()) -> list[tuple[str, str, bool]]:
+    """(name, what, found) for each path that should exist and each module that should import."""
+    import importlib.util
+    import os
+
+    return [(name, "path", os.path.exists(path)) for name, path in paths.items()] + [(m, "module", importlib.util.find_spec(m) is not None) for m in modules]
+
+
 def observed(df: DataFrame, name: str = "progress", **conditions) -> tuple[DataFrame, object]:
     """df with a row counter and one counter for each condition, filled by whichever action runs it; no extra pass."""
     from pyspark.sql import Observation

@@ -32,9 +32,9 @@ class StandInKernel:
         return goal
 
     def apply(self, state: str, tactic: str) -> str:
-        h = int(hashlib.md5(f"{tactic}".encode()).hexdigest()[:8], 16) / 2**32
+        h = int(hashlib.md5(f"{state}|{tactic}".encode()).hexdigest()[:8], 16) / 2**32
         if not tactic or h < self.failing:
-            raise ValueError(f"{tactic.split()[0] if tactic.split() else 'nothing'} failed")
+            raise ValueError(f"tactic '{tactic.split()[0]}' failed" if tactic.split() else "unexpected token: no tactic")
         return hashlib.md5(f"{state}|{tactic}".encode()).hexdigest()
 
 

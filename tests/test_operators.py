@@ -273,3 +273,119 @@ def test_shell_entry(capsys):
     assert cli.main(["--input", "x", "--list"]) == 0 and "rrf_fused" in capsys.readouterr().out
     assert cli.main(["--input", "x", "--step", "corpus_gate", "--step", "top_modules", "--resume-from", "top_modules", "--dry-run"]) == 0
     assert capsys.readouterr().out.split() == ["top_modules"]
+
+
+def test_hints_name_what_was_done(spark):
+    rows = [("k", i, t) for i, t in enumerate(["simp [a]", "rw [x] at h", "exact foo bar baz", "omega", "linarith h1 h2", "intro x y", "", None] * 6)]
+    steps = spark.createDataFrame([(k, i, t, 0) for k, i, t in rows], "k string, i int, t string, step int")
+    out = A.inject_with_hints(steps, ["k", "i"], "t", "step").collect()
+    assert {r["error_type"] for r in out} == set(A.ERROR_TYPES) and all(r["repair_hint"] for r in out)
+    for r in out:
+        head, bad = r["t"].split()[0], r["error_tactic"].split()[0]
+        if r["error_type"] == "tactic_typo":
+            assert r["repair_hint"] == f"typo: '{bad}' should be '{head}'" and (head not in A.TYPOS or bad in A.TYPOS[head])
+        elif r["error_type"] == "wrong_tactic":
+            assert r["repair_hint"] == f"wrong tactic: should use '{head}' instead of '{bad}'"
+        elif r["error_type"] == "missing_step":
+            assert r["repair_hint"] == f"missing step: used '{r['error_tactic']}' placeholder, should be '{r['t']}'"
+        elif "was removed" in r["repair_hint"]:
+            n, word = int(r["repair_hint"].split()[3]), r["repair_hint"].split("'")[1]
+            args = r["t"].split()[1:]
+            assert args[n - 1] == word and r["error_tactic"].split()[1:] == args[: n - 1] + args[n:]
+        elif "inserted" in r["repair_hint"]:
+            n = int(r["repair_hint"].split()[-1])
+            assert r["error_tactic"].split()[n] == "h"
+
+
+def test_repair_follows_the_message():
+    from tacticmill.operators import search as H
+
+    class Told:
+        def __init__(self, message):
+            self.message, self.seen = message, []
+
+        def start(self, goal):
+            return goal
+
+        def apply(self, state, tactic):
+            self.seen.append((state, tactic))
+            if tactic != "good":
+                raise ValueError(self.message)
+            return state + "."
+
+    repairs = lambda t, route: ["x", "y", "z", "good"] if route == "ETR" else ["good"]
+    told = Told("failed to synthesize")
+    assert H.repair_one("s", "bad", repairs, told, above="up") == (True, "ESR", "good", 1) and told.seen[-1] == ("up", "good")
+    told = Told("tactic 'bad' failed")
+    # the third failure gives the tactic up
+    assert H.repair_one("s", "bad", repairs, told, above="up") == (True, "ESR", "good", 3) and told.seen[-1] == ("up", "good")
+    assert H.repair_one("s", "good", repairs, told) == (True, "none", "good", 0)
+    assert H.repair_one("s", "bad", lambda t, r: ["good"], Told("odd")) == (True, "ETR", "good", 1)
+
+
+def test_two_level_search_has_its_budgets():
+    from tacticmill.operators import search as H
+
+    class Path:
+        def __init__(self):
+            self.calls = 0
+
+        def start(self, goal):
+            if not goal:
+                raise ValueError("nothing")
+            return ""
+
+        def apply(self, state, tactic):
+            self.calls += 1
+            if tactic == "bad" or len(state) > 6:
+                raise ValueError("tactic 'bad' failed")
+            return state + tactic
+
+    none = lambda t, r: []
+    done, nodes, path = H.two_level_search("g", ["bad", "a", "b"], Path(), lambda s: s == "aba", none, outer=40, inner=3)
+    assert done and path == ["a", "b", "a"] and nodes <= 40
+    assert H.two_level_search("", ["a"], Path(), bool, none) == (False, 0, [])
+    kernel_ = Path()
+    assert H.two_level_search("g", ["a", "b"], kernel_, lambda s: False, none, outer=2, inner=1)[0] is False and kernel_.calls <= 2
+    repaired = H.two_level_search("g", ["bad"], Path(), lambda s: s == "a", lambda t, r: ["a"], outer=2, inner=1)
+    assert repaired == (True, 2, ["a"])
+
+
+def test_service_is_paced_bounded_and_retried(spark):
+    import threading
+    import time
+
+    pauses = []
+    calls = iter([1, 1, 0])
+
+    def flaky():
+        if next(calls):
+            raise OSError
+        return "ok"
+
+    assert io.with_retries(flaky, 3, base=1.0, longest=1.5, pause=pauses.append) == "ok"
+    assert 0.5 <= pauses[0] <= 1.5 and 0.75 <= pauses[1] <= 2.25
+    with pytest.raises(OSError):
+        io.with_retries(lambda: (_ for _ in ()).throw(OSError()), 2, pause=pauses.append)
+    pace, began = io.Pace(50), time.monotonic()
+    threads = [threading.Thread(target=pace) for _ in range(11)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert time.monotonic() - began >= 0.19
+
+    def call(rows):
+        return [{"id": r["id"], "n": len(rows)} for r in rows]
+
+    got = io.in_batches(spark.range(50).coalesce(1), call, "id long, n int", size=7, concurrency=4, rate=1000).collect()
+    assert [r["id"] for r in got] == list(range(50)) and sorted({r["n"] for r in got}) == [1, 7]
+
+
+def test_configuration_and_environment(tmp_path):
+    (tmp_path / "a.json").write_text('{"a": {"b": [1, 2]}}')
+    (tmp_path / "b.yaml").write_text("a:\n  b: [1, 2]\n")
+    (tmp_path / "c.json").write_text("")
+    assert io.load_config(str(tmp_path / "a.json")) == {"a": {"b": [1, 2]}} and io.load_config(str(tmp_path / "c.json")) == {}
+    pytest.importorskip("yaml")
+    assert io.load_config(str(tmp_path / "b.yaml")) == {"a": {"b": [1, 2]}}
+    found = io.check_environment({"here": str(tmp_path), "gone": str(tmp_path / "x")}, ["json", "no_such_module"])
+    assert found == [("here", "path", True), ("gone", "path", False), ("json", "module", True), ("no_such_module", "module", False)]

@@ -141,3 +141,29 @@ def test_blocks_goals_and_types():
     assert Y.tactic_lines("by\n  simp; ring -- c\n  · a <;> b") == ["simp", "ring", "a <;> b"]
     assert Y.split_arguments("f (a b) [c, d], e") == ["f", "(a b)", "[c, d]", "e"]
     assert len(Y.theorem_blocks("import X\n\ntheorem a : T := by\n  simp\n\nlemma b : U := v\n")) == 2
+
+
+def test_namespaces():
+    text = "import A\nnamespace Foo\nnamespace Bar\ntheorem x : True := trivial\nend Bar\nend Foo\nend\nend Extra\nnamespace Open"
+    got = Y.namespaces(text)
+    assert [tuple(r) for r in got] == [("Bar", 3, 5), ("Foo", 2, 6)] and Y.namespaces(None) == []
+    assert [Y.namespace_at(got, n) for n in (1, 2, 4, 6, 9)] == ["", "Foo", "Bar", "Foo", ""]
+
+
+def test_single_tactics(spark):
+    rows = [("simp [a] <;> ring", "simp", True), ("exact h", "exact", False), (" · omega", "· omega", True), ("", "", False), (None, "", False), ("a; b", "a", True), ("first | x ||| y", "first", True)]
+    df = spark.createDataFrame(rows, "t string, name string, c boolean").select(X.single_tactic(F.col("t")).alias("g"), "name", "c")
+    assert [(r["g"]["name"], r["g"]["combinator"]) for r in df.collect()] == [(n, c) for _, n, c in rows]
+
+
+def test_routes_agree_with_the_columns(spark):
+    messages = ["type mismatch at x", "unknown constant 'a'", "tactic 'rfl' failed", "deterministic TIMEOUT", "failed to synthesize X", "stuck at ?m.12", "odd", "", None]
+    for failures in (0, 2, 3):
+        df = spark.createDataFrame([(m,) for m in messages], "m string").select(X.error_class(F.col("m")).alias("c"))
+        got = [(r["c"], r["route"]) for r in df.select("c", X.repair_route(F.col("c"), F.lit(failures)).alias("route")).collect()]
+        assert got == [X.route_of(m, failures) for m in messages]
+
+
+def test_messages_are_unwrapped(spark):
+    df = spark.createDataFrame([("Message(data='goal not closed', pos=1)",), ("plain",), ("data=''",), (None,)], "m string")
+    assert [r[0] for r in df.select(X.unwrapped_message(F.col("m"))).collect()] == ["goal not closed", "plain", "data=''", ""]
