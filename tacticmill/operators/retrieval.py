@@ -40,21 +40,54 @@ def top_k(scored: DataFrame, group: str, order: list[Column | str], k: int) -> D
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).where(F.col("rank") < k)
 
 
-def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(token, key, size): the inverted index of distinct identifiers."""
-    t = df.select(F.col(key), identifiers(F.col(text)).alias("tokens"))
-    return t.select(key, F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+def _overlap_topk(qid: str, name: str, k: int):
+    """The k documents of a block that share most tokens with each query of a block, ties by name; documents that share none are left out."""
+
+    def run(queries: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        docs = docs.sort_values(name, kind="stable")
+        names, sizes = docs[name].to_numpy(), docs["tokens"].map(len).to_numpy(dtype=np.int64)
+        where: dict[str, list[int]] = {}
+        for i, tokens in enumerate(docs["tokens"]):
+            for t in tokens:
+                where.setdefault(t, []).append(i)
+        at = {t: np.array(rows) for t, rows in where.items()}
+        out: list[tuple] = []
+        for q, tokens in zip(queries[qid], queries["tokens"]):
+            lists = [at[t] for t in tokens if t in at]
+            if not lists:
+                continue
+            overlap = np.bincount(np.concatenate(lists), minlength=len(names))
+            # documents are in the order of their names, so a stable sort settles ties
+            best = np.argsort(-overlap, kind="stable")[:k]
+            out += [(q, names[i], overlap[i], len(tokens), sizes[i]) for i in best if overlap[i]]
+        return pd.DataFrame(out, columns=[qid, name, "overlap", "q_size", "d_size"])
+
+    return run
+
+
+def blocks_of(queries: DataFrame, qid: str, docs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``block`` and ``chunk``: every pair of a query block and a document chunk meets once.
+
+    Hash blocks of an expected size of QUERY_BLOCK and VECTOR_BLOCK rows.
+    """
+    blocks, chunks = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-docs.count() // VECTOR_BLOCK))
+    q = queries.withColumn("block", F.pmod(F.xxhash64(qid), F.lit(blocks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    d = docs.withColumn("chunk", F.pmod(F.xxhash64(name), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return q, d
 
 
 def symbolic_topk(queries: DataFrame, qid: str, text: str, docs: DataFrame, name: str, doc_text: str, k: int) -> DataFrame:
     """(qid, name, overlap, score, rank): by number of shared tokens, then name; the score is the Jaccard similarity.
 
-    An equi-join of two posting tables and a partial aggregate; pairs without a
-    shared token are never made.
+    Blocks of queries meet blocks of documents; a task holds the inverted index of its block, counts
+    overlaps along the postings and keeps k documents of each query. Pairs never become rows, so a token
+    that every document holds costs time in its tasks but no shuffle. Names are keys.
     """
-    q = postings(queries, qid, text).withColumnRenamed("size", "q_size")
-    p = postings(docs, name, doc_text).withColumnRenamed("size", "d_size")
-    hits = q.join(p, "token").groupBy(qid, name).agg(F.count("*").alias("overlap"), F.first("q_size").alias("q_size"), F.first("d_size").alias("d_size"))
+    kinds = dict(queries.select(qid).dtypes) | dict(docs.select(name).dtypes)
+    q = queries.select(qid, identifiers(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
+    d = docs.where(F.col(name).isNotNull()).select(name, identifiers(F.col(doc_text)).alias("tokens")).where(F.size("tokens") > 0)
+    q, d = blocks_of(q, qid, d, name)
+    hits = q.groupBy("block", "chunk").cogroup(d.groupBy("block", "chunk")).applyInPandas(_overlap_topk(qid, name, k), f"{qid} {kinds[qid]}, {name} {kinds[name]}, overlap long, q_size long, d_size long")
     scored = hits.withColumn("score", F.round(F.col("overlap") / (F.col("q_size") + F.col("d_size") - F.col("overlap")), 6))
     return top_k(scored, qid, [F.desc("overlap"), name], k).select(qid, name, "overlap", "score", "rank")
 
@@ -89,10 +122,7 @@ def dense_topk(queries: DataFrame, qid: str, vectors: DataFrame, name: str, vect
     QUERY_BLOCK queries; for query sets that grow with the vectors take ``search`` on an index.
     """
     kinds = dict(queries.select(qid).dtypes) | dict(vectors.select(name).dtypes)
-    q, v = queries.select(qid, F.col(vector).alias("v")), vectors.select(name, F.col(vector).alias("v"))
-    blocks, chunks = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-v.count() // VECTOR_BLOCK))
-    q = q.withColumn("block", F.pmod(F.xxhash64(qid), F.lit(blocks))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    v = v.withColumn("chunk", F.pmod(F.xxhash64(name), F.lit(chunks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    q, v = blocks_of(queries.select(qid, F.col(vector).alias("v")), qid, vectors.select(name, F.col(vector).alias("v")), name)
     partial = q.groupBy("block", "chunk").cogroup(v.groupBy("block", "chunk")).applyInPandas(_block_topk(qid, name, k + (1 if exclude_self else 0)), f"{qid} {kinds[qid]}, {name} {kinds[name]}, score double")
     if exclude_self:
         partial = partial.where(F.col(qid) != F.col(name))

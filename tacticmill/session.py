@@ -68,9 +68,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return wanted or current.get()
 
 
+def written(spark: SparkSession) -> list[str]:
+    """Paths this session has handed out inside the shared folder, oldest first."""
+    context = spark.sparkContext
+    if not hasattr(context, "_tacticmill_written"):
+        context._tacticmill_written = []
+    return context._tacticmill_written
+
+
+def clear_written(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Deletes tables written to cut a lineage; results that still read them must have been stored."""
+    known = written(spark)
+    for path in list(known if paths is None else paths):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in known:
+            known.remove(path)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path for a written table inside the shared folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    written(spark).append(path)
+    return path
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:

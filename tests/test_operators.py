@@ -100,6 +100,23 @@ def test_dense_topk_equals_brute_force_in_blocks(spark, monkeypatch):
         assert [r["n"] for r in sorted((r for r in got if r["q"] == q), key=lambda r: r["rank"])] == want
 
 
+def test_symbolic_topk_equals_brute_force_in_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(V, "QUERY_BLOCK", 6)
+    monkeypatch.setattr(V, "VECTOR_BLOCK", 9)
+    rng = random.Random(8)
+    # every document holds one token, a third holds another
+    docs = [(f"D.{i:02}", " ".join(["common", *(["third"] if i % 3 == 0 else []), *rng.sample([f"t{j}" for j in range(12)], 4)])) for i in range(50)] + [("D.none", ""), ("D.null", None), (None, "common")]
+    asked = [(q, " ".join(["common", *rng.sample([f"t{j}" for j in range(14)], 5)])) for q in range(20)] + [(99, None), (98, "unseen")]
+    got = V.symbolic_topk(spark.createDataFrame(asked, "q int, text string"), "q", "text", spark.createDataFrame(docs, "n string, body string"), "n", "body", 7).collect()
+    for q, text in asked:
+        tokens = set((text or "").split())
+        scored = sorted((-len(tokens & set(b.split())), n, len(tokens | set(b.split()))) for n, b in docs if n and b and tokens & set(b.split()))[:7]
+        assert [(r["n"], r["overlap"], r["score"]) for r in sorted((r for r in got if r["q"] == q), key=lambda r: r["rank"])] == [(n, -o, round(-o / u, 6)) for o, n, u in scored]
+    assert V.symbolic_topk(spark.createDataFrame(asked, "q int, text string").limit(0), "q", "text", spark.createDataFrame(docs, "n string, body string"), "n", "body", 7).collect() == []
+
+
 def test_ties_at_the_last_place(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(6)], "n int, v array<double>")
     got = V.dense_topk(df.where("n = 0").select(F.col("n").alias("q"), "v"), "q", df, "n", "v", 3).collect()
@@ -389,3 +406,30 @@ def test_configuration_and_environment(tmp_path):
     assert io.load_config(str(tmp_path / "b.yaml")) == {"a": {"b": [1, 2]}}
     found = io.check_environment({"here": str(tmp_path), "gone": str(tmp_path / "x")}, ["json", "no_such_module"])
     assert found == [("here", "path", True), ("gone", "path", False), ("json", "module", True), ("no_such_module", "module", False)]
+
+
+def test_written_tables_can_be_cleared(spark):
+    from tacticmill import session
+
+    df = session.cut(spark.range(5), "clear")
+    path = session.written(spark)[-1]
+    assert "clear-" in path and df.count() == 5
+    session.clear_written(spark, [path])
+    assert path not in session.written(spark) and not os.path.exists(path.removeprefix("file:"))
+
+
+def test_shell_jobs_configuration_and_check(tmp_path, capsys, sf_dir):
+    from tacticmill import cli
+    from tacticmill.plans import registry
+
+    assert {s for steps in cli.JOBS.values() for s in steps} <= set(registry.queries())
+    config = tmp_path / "c.json"
+    config.write_text(json.dumps({"input": sf_dir, "job": ["corpus"], "step": ["top_modules"]}))
+    assert cli.main(["--config", str(config), "--dry-run"]) == 0
+    assert capsys.readouterr().out.split() == [*cli.JOBS["corpus"], "top_modules"]
+    assert cli.main(["--config", str(config), "--check"]) == 0 and cli.main(["--input", str(tmp_path / "none"), "--check"]) == 1
+    assert "missing\tpath\tinput" in capsys.readouterr().out
+    config.write_text('{"odd": 1}')
+    for bad in (["--config", str(config)], []):
+        with pytest.raises(SystemExit):
+            cli.main(bad)
