@@ -138,10 +138,32 @@ def _names(text: str) -> Iterator[tuple[int, int, list[str]]]:
                 yield start, found[i + 2].end(), [first, part[i + 1]]
 
 
+_AT = ("(at)", "[at]", "{at}", "<at>")
+_HOST_AHEAD = re.compile(r"[\w-]+ ?(?:\.| dot |\(dot\)|\[dot\]|dot)")
+
+
+def _may_hold_email(text: str) -> bool:
+    """False only where EMAIL matches nowhere."""
+    at = text.find("@")
+    while at >= 0:
+        if text[at - 1 : at].isalnum() and text[at + 1 : at + 2].isalnum():
+            return True
+        at = text.find("@", at + 1)
+    low = text.lower()
+    if any(form in low for form in _AT):
+        return True
+    at = low.find(" at ")
+    while at >= 0:
+        if _HOST_AHEAD.match(low, at + 4):
+            return True
+        at = low.find(" at ", at + 1)
+    return False
+
+
 def candidates(text: str) -> list[Candidate]:
     """All candidates of a bare text, in no particular order; they may overlap."""
     out: list[Candidate] = []
-    if "@" in text or re.search(r"\b[Aa][Tt]\b", text):
+    if _may_hold_email(text):
         at = 0
         while m := EMAIL.search(text, at):
             s = m.group(0)

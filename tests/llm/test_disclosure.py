@@ -64,6 +64,17 @@ def test_only_form_states(text, stated):
     assert sorted(text[c.start : c.end] for c in candidates(text) if c.seed) == sorted(stated)
 
 
+def test_the_quick_look_for_mail_loses_nothing(sf_dir):
+    import duckdb
+
+    from tacticmill.llm import disclosure_rules as R
+
+    texts = [t for (t,) in duckdb.connect().execute(f"SELECT text FROM '{sf_dir}/documents.parquet' WHERE text IS NOT NULL").fetchall()] + [t for t, _ in ITEMS]
+    texts += ["a@b.co", "x At y.zz", "me AT mail DOT velden DOT example", "q [AT] w.org", "İ at b.co"]
+    for t in map(bare, texts):
+        assert R._may_hold_email(t) or not R.EMAIL.search(t)
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     filler = [f"See the Velmarq Lectures, vol. 1, pp. 20-1{i:03}, table ({100 + i}) 727-{1000 + i}." for i in range(40)]
