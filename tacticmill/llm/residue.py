@@ -179,15 +179,28 @@ BANK, POSTINGS = _bank()
 STEMS = frozenset(w[:_STEM] for w in FILLER)
 
 
-def _token(raw: str) -> str:
-    if raw[0].isdigit():
-        return "<http>"
-    if raw == "...":
-        return "…"
-    # a variable stands for all variables, a qualified name for its first part
-    if len(raw) == 1 and raw.isalpha() or _VARIABLE.fullmatch(raw):
-        return "<variable>"
-    return raw.split(".", 1)[0].lower() + "." if "." in raw else raw.lower()
+class _Tokens(dict):
+    """Written form to token, remembered up to a number of forms."""
+
+    def __missing__(self, raw: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        token = self[raw] = self._token(raw)
+        return token
+
+    @staticmethod
+    def _token(raw: str) -> str:
+        if raw[0].isdigit():
+            return "<http>"
+        if raw == "...":
+            return "…"
+        # a variable stands for all variables, a qualified name for its first part
+        if len(raw) == 1 and raw.isalpha() or _VARIABLE.fullmatch(raw):
+            return "<variable>"
+        return raw.split(".", 1)[0].lower() + "." if "." in raw else raw.lower()
+
+
+_TOKENS = _Tokens()
 
 
 def line_tokens(line: str) -> list[str]:
@@ -196,7 +209,7 @@ def line_tokens(line: str) -> list[str]:
     Markup in string literals of a statement does not count.
     """
     if not _HINT.search(line):
-        return [_token(t) for t in _TOKEN.findall(line)]
+        return [_TOKENS[t] for t in _TOKEN.findall(line)]
     rest = line if line.lstrip().startswith(("{", "<", "File", "Traceback")) else _STRING.sub(lambda m: '"' * len(m.group(0)), line)
     at: list[tuple[int, str]] = []
     for token, shape in _SHAPES:
@@ -204,7 +217,7 @@ def line_tokens(line: str) -> list[str]:
             if m.end() > m.start():
                 at.append((m.start(), token))
         rest = shape.sub(lambda m: " " * len(m.group(0)), rest)
-    return [t for _, t in sorted(at + [(m.start(), _token(m.group(0))) for m in _TOKEN.finditer(rest)])]
+    return [t for _, t in sorted(at + [(m.start(), _TOKENS[m.group(0)]) for m in _TOKEN.finditer(rest)])]
 
 
 def is_filler(token: str) -> bool:
@@ -213,7 +226,9 @@ def is_filler(token: str) -> bool:
 
 def retrieves(tokens: list[str]) -> bool:
     """True where a line's tokens retrieve an exemplar."""
-    return any(t in POSTINGS for t in tokens) or sum(map(is_filler, tokens)) >= 3
+    if not POSTINGS.keys().isdisjoint(tokens):
+        return True
+    return len(tokens) >= 3 and sum([is_filler(t) for t in tokens if t[:_STEM] in STEMS]) >= 3
 
 
 def _best(tokens: list[str], exemplar: Exemplar, mass: dict[str, float]) -> tuple[float, float]:
