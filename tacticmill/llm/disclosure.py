@@ -25,7 +25,7 @@ Scale. One pass over the texts writes the candidates and partial word counts; co
 aggregates and joins on terms, and a term that a third of all rows hold is one row of the counts.
 Only the five kinds' shares of entities among candidates reach the driver.
 
-Defined results: NULL and empty texts have no items; positions count code
+Defined results: a row without a key has no items; NULL and empty texts have none; positions count code
 points of the text as it is; items of one text do not overlap; repeated rows give the same
 items and count once; an empty table gives no items; texts are read whole.
 """
@@ -58,8 +58,9 @@ _ID = ["doc_id", "as_kind", "start_pos", "end_pos"]
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=_COLUMNS)
-    return df.astype({c: "Int64" for c in ("doc_id", "start_pos", "end_pos", "short_end", "n")})
+    columns = dict(zip(_COLUMNS, zip(*rows)))
+    # a list of integers and None must not pass through floats
+    return pd.DataFrame({c: pd.array(v, dtype="Int64") if c in ("doc_id", "start_pos", "end_pos", "short_end", "n") else list(v) for c, v in columns.items()})
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,7 +229,7 @@ def _town_ends(found: DataFrame) -> DataFrame:
 
 def scanned(df: DataFrame, key: str, text: str) -> DataFrame:
     """One pass over the texts: candidates, and partial counts of words."""
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return cut(rows.mapInPandas(_extract, _SCAN), "items")
 
 
@@ -260,6 +261,9 @@ def _replaced(texts: pd.Series, items: pd.Series) -> pd.Series:
 
 
 def sanitised(df: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text) of every row, items replaced by placeholders. A text's items are bounded by its length."""
+    """(key, text) of every row, items replaced by placeholders. A text's items are bounded by its length.
+
+    A row without a key has no items, so its text comes out as NULL rather than as it is.
+    """
     spans = items.groupBy(key).agg(F.collect_list(F.struct("start_pos", "end_pos", "kind")).alias("spans"))
-    return df.select(key, text).join(spans, key, "left").select(key, _replaced(F.col(text), F.col("spans")).alias(text))
+    return df.select(key, text).join(spans, key, "left").select(key, F.when(F.col(key).isNotNull(), _replaced(F.col(text), F.col("spans"))).alias(text))

@@ -22,7 +22,7 @@ bucket, partner or candidate is capped.
 Recall of the bands is 1 - (1 - s^r)^b: with the defaults 0.9963 at s = 0.5 and
 0.9998 at s = 0.6. The tolerance of the pruning is 1e-4.
 
-Defined results: NULL counts as empty text; records of fewer than
+Defined results: a row without an id is no record; NULL counts as empty text; records of fewer than
 ``min_words`` words take no part; repeated rows of an id count once; ties and
 equal texts are pairs of similarity 1; an empty table gives no pair; columns
 other than those named are ignored; texts are read whole.
@@ -231,6 +231,7 @@ def near_classes(
     tolerance: float = 1e-4,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (ca, cb, similarity) between classes, members (cls, id)."""
+    df = df.where(F.col(key).isNotNull())
     source = df.select(F.col(key).cast("long").alias("id"), F.lit(None).cast("string").alias("side"), F.array(*parts).alias("parts"))
     fp = cut(source.mapInPandas(fingerprints(width, bands, rows, min_words), FINGERPRINT), "near-fp")
     members = fp.select("cls", "id").distinct()

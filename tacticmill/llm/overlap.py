@@ -16,7 +16,7 @@ were measured first: at a word-set similarity of 0.7 two codes agree in 81 % of
 their bits and unrelated records in 58 %, so a recall of 99 % would need some
 130 blocks of 16 bits, which unrelated records share by the thousand; 42 minwise blocks give 99.96 %.
 
-Defined results: records whose evaluation side or training side is not named
+Defined results: a row without an id is no record; records whose evaluation side or training side is not named
 take no part, like those excluded by ``without`` (record ids) or with a NULL
 or empty required part; NULL elsewhere counts as empty; repeated rows count
 once; equal word sets are pairs; empty tables give no pair; texts are read whole.
@@ -73,7 +73,7 @@ def overlap_pairs(
 ) -> DataFrame:
     """(record_id_a, record_id_b), a < b. ``without`` is a one-column table of ids that do not count."""
     side = F.when(F.col(split) == train, "train").when(F.col(split).isin(*held_out), "held")
-    rows = df.where(side.isNotNull())
+    rows = df.where(side.isNotNull() & F.col(key).isNotNull())
     for name in required:
         rows = rows.where(F.col(name).isNotNull() & (F.col(name) != ""))
     source = rows.select(F.col(key).cast("long").alias("id"), side.alias("side"), F.array(*parts).alias("parts"))

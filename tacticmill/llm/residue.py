@@ -18,7 +18,7 @@ partial counts of all tokens. The counts are summed in a distributed aggregate
 and joined to the windows, so every word has its own idf and coverage depends on shares,
 not on the number of rows; only the counts of exemplar tokens are gathered, at most one row each.
 
-Defined results: NULL and empty texts are no case; notes that nothing is left
+Defined results: a row without an id is no record; NULL and empty texts are no case; notes that nothing is left
 to prove, ASCII states and mathematics with braces, brackets, string literals
 or such words as names are no case; repeated rows count once; an empty table
 gives no case; every text is read whole.
@@ -321,14 +321,16 @@ def _scan(fields: list[str]):
                             rows.append(("window", row_id, field, window, 1))
             rows += [("df", None, None, token, n) for token, n in frequency.items()]
             if rows:
-                yield pd.DataFrame(rows, columns=["kind", "row_id", "field", "text", "n"]).astype({"row_id": "Int64", "n": "int64"})
+                kind, ids, names, texts, n = zip(*rows)
+                # a list of integers and None must not pass through floats
+                yield pd.DataFrame({"kind": kind, "row_id": pd.array(ids, dtype="Int64"), "field": names, "text": texts, "n": pd.array(n, dtype="Int64")})
 
     return run
 
 
 def scan_texts(df: DataFrame, row_id: str, fields: dict[str, Column], table: str) -> DataFrame:
     """First pass over one table: ``fields`` maps a field's name to a text or an array of texts."""
-    texts = df.select(F.col(row_id).cast("long").alias("row_id"), *[c.alias(name) for name, c in fields.items()])
+    texts = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("long").alias("row_id"), *[c.alias(name) for name, c in fields.items()])
     return texts.mapInPandas(_scan(list(fields)), _SCAN).withColumn("table_name", F.lit(table))
 
 

@@ -129,3 +129,10 @@ def test_text_stays_readable(table):
 
 def test_empty(table):
     assert personal_items(table[1].limit(0), "key", "text").collect() == []
+
+
+def test_rows_without_a_key_and_large_keys(spark):
+    df = spark.createDataFrame([(2**60 + 1, "Dr. Anna Berg wrote to a@b.test"), (None, "Dr. Anna Berg wrote"), (5, None)], "key long, text string").coalesce(1)
+    items = personal_items(df, "key", "text")
+    assert {(r["key"], r["kind"]) for r in items.collect()} == {(2**60 + 1, "name"), (2**60 + 1, "email")}
+    assert {r["key"]: r["text"] for r in sanitised(df, items, "key", "text").collect()} == {2**60 + 1: "Dr. [NAME] wrote to [EMAIL]", None: None, 5: None}

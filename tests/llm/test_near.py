@@ -149,3 +149,12 @@ def test_exact_jaccard(spark):
     df = spark.createDataFrame([("a b c d", "a b c e"), ("", ""), ("a b c", "A b  c")], "x string, y string")
     got = [r[0] for r in df.select(exact_jaccard(3)(F.col("x"), F.col("y"))).collect()]
     assert got == [1 / 3, 0.0, 1.0]
+
+
+def test_rows_without_an_id_and_large_ids(spark):
+    text, big = " ".join(f"w{i}" for i in range(40)), 2**60 + 1
+    rows = [(big, text, None, "train"), (big + 1, text, None, "val"), (None, text, None, "train"), (None, text, None, "val"), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "rid long, a string, b string, split string").coalesce(1)
+    assert [tuple(r) for r in near_pairs(df, "rid", ["a", "b"]).collect()] == [(big, big + 1)]
+    assert {r["rid"] for r in near_groups(df, "rid", ["a", "b"]).collect()} == {big, big + 1}
+    assert [tuple(r) for r in overlap_pairs(df, "rid", "split", ["a", "b"], ["a"]).collect()] == [(big, big + 1)]

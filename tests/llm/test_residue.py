@@ -84,3 +84,8 @@ def test_operator(spark):
     assert len(got) == len(cases)
     assert got == {("t", i, "chain") for i in range(len(RESIDUE))} | {("t", 200, "state"), ("t", 202, "chain"), ("t", 202, "state")}
     assert residue_cases([scan_texts(df.limit(0), "key", {"state": F.col("state")}, "t")]).collect() == []
+
+
+def test_rows_without_an_id_and_large_ids(spark):
+    df = spark.createDataFrame([(2**60 + 1, "TBD"), (None, "TBD"), (5, None)], "key long, s string").coalesce(1)
+    assert [r["row_id"] for r in residue_cases([scan_texts(df, "key", {"s": F.col("s")}, "t")]).collect()] == [2**60 + 1]
